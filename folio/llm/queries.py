@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.llm import exact_dedup, search
+from folio.llm.chat import op1_chat_windows
+from folio.llm.exact_dedup import op3_exact_dedup
 from folio.llm.packing import op7_best_fit_packing
+from folio.llm.search import op4_pivot_search
 from folio.llm.wavelet import op5_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_windows": op1_chat_windows,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_pivot_search": op4_pivot_search,
     "op5_token_shards": op5_token_shards,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_pivot_search": search.ORACLE}
