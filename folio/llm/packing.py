@@ -65,7 +65,7 @@ def _cut(path: str, end_id: int, capacity: int, read_bytes: int):
     return run
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, read_bytes: int = 4_000_000) -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, read_bytes: int = 8_000_000) -> DataFrame:
     """Encoded pieces of docs (doc_id, text), written to the shared folder so that ranks stay as they were counted."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return common.materialize(rows.mapInArrow(_cut(vocabulary, end_id, capacity, read_bytes), PIECE_SCHEMA), "pieces")

@@ -16,7 +16,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: White space other than single inner blanks and newlines.
-IRREGULAR = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
+IRREGULAR = "[\\x00\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
+#: A run of signs between a letter and white space or the end: a token boundary for both pre-tokenizers. The
+#: apostrophe is left out, as contractions begin with it.
+SIGNS = r"(\p{L})([!-&(-/:-@\[-`{-~]+)([ \n]|\z)"
+#: Marks after which lower-casing a letter alone could change how they compose.
+MARKS = r"[\x{300}-\x{36f}]"
 #: Pieces that byte-level BPE cuts into a word and a run of signs, with no contraction in them.
 _PLAIN = re.compile(r"( ?)([A-Za-z]+)([^A-Za-z0-9\s']*)", re.ASCII)
 
@@ -30,14 +35,14 @@ class _Index(dict):
 
     def __missing__(self, piece: str) -> int:
         self[piece] = row = len(self.new)
-        self.new.append(self.lead + piece if piece[:1] != "\n" else piece)
+        self.new.append(piece[1:] if piece[:1] == "\0" else piece if piece[:1] == "\n" else self.lead + piece)
         return row
 
 
 class PieceEncoder:
     """encode(texts) -> (ids, offsets). `spaced`: pieces keep their leading white space (byte-level BPE)."""
 
-    def __init__(self, path: str, spaced: bool, max_pieces: int = 800_000, max_piece_bytes: int = 32_000_000):
+    def __init__(self, path: str, spaced: bool, max_pieces: int = 1_000_000, max_piece_bytes: int = 32_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -92,9 +97,12 @@ class PieceEncoder:
         n, odd = len(texts), np.zeros(len(texts), bool)
         if self.spaced:
             odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
-            regular = texts.filter(pa.array(~odd))
+            regular = pc.replace_substring_regex(texts.filter(pa.array(~odd)), SIGNS, "\\1 \0\\2\\3")
             lists = pc.split_pattern(pc.replace_substring(regular, "\n", " \n"), " ")
         else:
+            texts = pc.replace_substring_regex(texts, SIGNS, r"\1 \2\3")
+            if not pc.any(pc.match_substring_regex(texts, MARKS)).as_py():
+                texts = pc.ascii_lower(texts)  # the vocabulary has no capitals
             lists = pc.ascii_split_whitespace(texts)
         at = lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]

@@ -208,7 +208,7 @@ def _build(path: str, end_id: int, shard_tokens: int, read_bytes: int):
     return run
 
 
-def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, shard_tokens: int = 1 << 20, read_bytes: int = 4_000_000) -> None:
+def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, shard_tokens: int = 1 << 20, read_bytes: int = 8_000_000) -> None:
     """Encode docs (doc_id, text) and write shard images, ascending by doc_id over all shards, to `path`."""
     text = F.coalesce(F.col("text"), F.lit(""))
     (
