@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folio.llm import exact_dedup, search
 from folio.llm.chat import op1_chat_windows
 from folio.llm.exact_dedup import op3_exact_dedup
+from folio.llm.lm import op10_backoff_lm
 from folio.llm.packing import op7_best_fit_packing
 from folio.llm.search import op4_pivot_search
 from folio.llm.wavelet import op5_token_shards
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pivot_search": op4_pivot_search,
     "op5_token_shards": op5_token_shards,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_backoff_lm": op10_backoff_lm,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_pivot_search": search.ORACLE}
