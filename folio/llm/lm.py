@@ -27,7 +27,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -35,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import common
+from folio.llm.words import hash_words
 
 #: The end and the start of a document; words hold no white space, so none has these hashes by its text.
 END, START = (np.uint64(xxhash.xxh64_intdigest(b"\n" + name)) for name in (b"end", b"start"))
@@ -91,23 +91,14 @@ class Block:
     def __init__(self, raw: bytes):
         table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_all().combine_chunks()
         self.doc_ids, self.held_out = table.column(0).combine_chunks(), table.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        texts = table.column(2).combine_chunks()
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        coded = lists.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        at = lists.offsets.to_numpy().astype(np.int64)
-        doc = np.repeat(np.arange(len(texts)), np.diff(at))
-        if "" in words:  # what stands before leading and after trailing white space
-            keep = codes != words.index("")
-            codes, doc = codes[keep], doc[keep]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-        n = np.bincount(doc, minlength=len(texts)) + 1
+        hashes, counts = hash_words(table.column(2).combine_chunks())
+        n = counts + 1
         self.ends = np.cumsum(n)  # one past each document's end token
         self.n_tokens = n
         self.tokens = np.full(int(self.ends[-1]), END, np.uint64)
         inner = np.ones(len(self.tokens), bool)
         inner[self.ends - 1] = False
-        self.tokens[inner] = hashes[codes]
+        self.tokens[inner] = hashes
         self.before = np.concatenate([[START], self.tokens[:-1]])
         self.before[self.ends[:-1]] = START
         self.train = np.repeat(~self.held_out, n)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folio.llm import exact_dedup, search
 from folio.llm.chat import op1_chat_windows
 from folio.llm.exact_dedup import op3_exact_dedup
+from folio.llm.jaccard import op6_jaccard_join
 from folio.llm.lm import op10_backoff_lm
 from folio.llm.packing import op7_best_fit_packing
 from folio.llm.search import op4_pivot_search
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_pivot_search": op4_pivot_search,
     "op5_token_shards": op5_token_shards,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_backoff_lm": op10_backoff_lm,
 }
