@@ -12,6 +12,7 @@ from folio.llm.exact_dedup import op3_exact_dedup
 from folio.llm.jaccard import op6_jaccard_join
 from folio.llm.lm import op10_backoff_lm
 from folio.llm.packing import op7_best_fit_packing
+from folio.llm.quality import op8_quality_votes
 from folio.llm.search import op4_pivot_search
 from folio.llm.wavelet import op5_token_shards
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_shards": op5_token_shards,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_quality_votes": op8_quality_votes,
     "op10_backoff_lm": op10_backoff_lm,
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op4_pivot_search": search.ORACLE}

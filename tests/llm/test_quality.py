@@ -1,0 +1,53 @@
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from folio.llm import common, quality
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_features_do_not_depend_on_pieces_or_neighbours():
+    texts = ["", "a", "ab ab ab", "word " * 500, "é!! É!!", "", "x\ny x\ny"]
+    x = quality.features(pa.array(texts))
+    assert np.allclose(x, quality.features(pa.array(texts), piece=7))
+    for k, text in enumerate(texts):
+        assert np.allclose(x[k], quality.features(pa.array([text]))[0])
+    assert np.allclose((x[3, : quality.PAIRS] ** 2).sum(), 1, atol=1e-2)
+    sliced = pa.array(["zz", *texts, "q"]).slice(1, len(texts))
+    assert np.allclose(x, quality.features(sliced))
+
+
+def test_votes_match_brute_force():
+    rng = np.random.default_rng(1)
+    x, y = rng.random((60, quality.PAIRS + 2)).astype(np.float32), rng.integers(0, 2, 60)
+    model = quality.Model(x, y, dims=8, k=5, power=4)
+    asked = rng.random((40, quality.PAIRS + 2)).astype(np.float32)
+    v, want = model._unit(asked), []
+    for q in v:
+        near = sorted(((-float(q @ t), k) for k, t in enumerate(model.vectors)))[:5]
+        weight = [max(-s, 0) ** 4 + 1e-9 for s, _ in near]
+        want.append(sum(w * y[k] for w, (_, k) in zip(weight, near)) / sum(weight))
+    assert np.allclose(model.scores(asked, block=7), want, atol=1e-4)
+
+
+def test_held_out_accuracy(spark):
+    rows = quality.op8_quality_votes(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").collect()
+    good = [r for r in rows if r["quality"] == 1]
+    junk = [r for r in rows if r["quality"] == 0]
+    assert sum(r["predicted"] for r in good) >= 0.97 * len(good)
+    assert sum(1 - r["predicted"] for r in junk) >= 0.7 * len(junk)
+
+
+def test_edges(spark):
+    docs = spark.createDataFrame([(1, "fine text here", "a"), (2, "BAD!! BAD!!", "b"), (2, "BAD!! BAD!!", "b"), (3, None, "c"), (None, "", "d")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (9, 1)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True))
+    got = quality.scored(docs, model).collect()
+    assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
+    kept = quality.keep_good(docs, quality.fit(docs, labels, F.lit(True), k=1))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {1} and 2 not in {r["doc_id"] for r in kept.collect()}
+    none = quality.fit(docs, labels.filter("false"), F.lit(True))
+    assert {r["score"] for r in quality.scored(docs, none).collect()} == {0.5}
+    assert quality.scored(docs.filter("false"), model).count() == 0
+    assert quality.fit(docs, labels, common.crc_mod("doc_id", 3) == 1) is not None
