@@ -35,18 +35,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(keep: int = 0) -> None:
-    """Delete the scratch tables made so far, but for the newest `keep`. Results that still read them must be written first."""
-    while len(_scratch) > keep:
-        spark, path = _scratch.pop(0)
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def made() -> list[str]:
+    """Paths of the scratch tables made so far in this process."""
+    return [path for _, path in _scratch]
 
 
-def release_one(spark: SparkSession, path: str) -> None:
-    """Delete one scratch table whose readers are done."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables whose readers are done."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _scratch[:] = [x for x in _scratch if x[1] != path]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
