@@ -44,12 +44,15 @@ class PieceEncoder:
 
     def __init__(self, path: str, spaced: bool, max_pieces: int = 1_000_000, max_piece_bytes: int = 32_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.spaced, self.max_pieces, self.max_piece_bytes = spaced, max_pieces, max_piece_bytes
+        self._load(path)
+        self._reset()
+
+    def _load(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.spaced, self.max_pieces, self.max_piece_bytes = spaced, max_pieces, max_piece_bytes
-        self._reset()
 
     def _reset(self) -> None:
         self.pieces: list[str] = []  # by row; those from `known` on are not encoded yet
@@ -90,20 +93,27 @@ class PieceEncoder:
         self.arena = np.concatenate([self.arena, ids])
         self.key_bytes += sum(map(len, new))
 
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
+        """Which texts must be encoded whole, and the pieces of the others."""
+        odd = np.zeros(len(texts), bool)
+        if self.spaced:
+            odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
+            regular = pc.replace_substring_regex(texts.filter(pa.array(~odd)), SIGNS, "\\1 \0\\2\\3")
+            return odd, pc.split_pattern(pc.replace_substring(regular, "\n", " \n"), " ")
+        texts = pc.replace_substring_regex(texts, SIGNS, r"\1 \2\3")
+        if not pc.any(pc.match_substring_regex(texts, MARKS)).as_py():
+            texts = pc.ascii_lower(texts)  # the vocabulary has no capitals
+        return odd, pc.ascii_split_whitespace(texts)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (uint32), and int64 offsets, one more than texts. No text is null."""
         if self.known > self.max_pieces or self.key_bytes > self.max_piece_bytes:
             self._reset()
-        n, odd = len(texts), np.zeros(len(texts), bool)
-        if self.spaced:
-            odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
-            regular = pc.replace_substring_regex(texts.filter(pa.array(~odd)), SIGNS, "\\1 \0\\2\\3")
-            lists = pc.split_pattern(pc.replace_substring(regular, "\n", " \n"), " ")
-        else:
-            texts = pc.replace_substring_regex(texts, SIGNS, r"\1 \2\3")
-            if not pc.any(pc.match_substring_regex(texts, MARKS)).as_py():
-                texts = pc.ascii_lower(texts)  # the vocabulary has no capitals
-            lists = pc.ascii_split_whitespace(texts)
+        n = len(texts)
+        odd, lists = self._split(texts)
         at = lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
         coded = lists.flatten().dictionary_encode()
@@ -124,7 +134,7 @@ class PieceEncoder:
             parts, k = [], 0
             for i in range(n):
                 if odd[i]:
-                    parts.append(np.asarray(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32))
+                    parts.append(np.asarray(self._whole(texts[i].as_py()), np.uint32))
                 else:
                     parts.append(ids[offsets[k] : offsets[k + 1]])
                     k += 1
@@ -136,8 +146,8 @@ class PieceEncoder:
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> PieceEncoder:
+def encoder(path: str, spaced: bool, kind: type[PieceEncoder] = PieceEncoder) -> PieceEncoder:
     """One encoder for each worker process and vocabulary."""
     if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = PieceEncoder(path, spaced)
+        _encoders[path, spaced] = kind(path, spaced)
     return _encoders[path, spaced]
