@@ -50,7 +50,7 @@ def fragment_fingerprint(text: Column, language: Column, model: Column, voice: C
             voice=json_string(voice),
             voice_revision=json_string(revision),
             settings=json_floats(settings),
-            renderer_version=F.lit(str(renderer)),
+            renderer=F.lit(str(renderer)),
         )
     )
 

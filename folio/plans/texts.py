@@ -158,7 +158,7 @@ def html_paragraphs(spark, d):
 
 
 @query("""
-SELECT doc_id, substr(sha256('{"language":' || to_json(lang) || ',"model":"m@r1","renderer_version":1,"settings":{"speed":1.0,"temperature":0.7},"text":' || to_json(t)
+SELECT doc_id, substr(sha256('{"language":' || to_json(lang) || ',"model":"m@r1","renderer":1,"settings":{"speed":1.0,"temperature":0.7},"text":' || to_json(t)
   || ',"voice":' || to_json(source) || ',"voice_revision":""}'), 1, 32) AS fingerprint FROM (SELECT doc_id, lang, source, regexp_replace(text, '[^ -~\\n]', '', 'g') AS t FROM documents)
 """.replace("\\\\", "\\"))
 def fingerprints(spark, d):
