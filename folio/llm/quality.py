@@ -1,7 +1,7 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space (operator 8).
 
-Terms of a document are hashed pairs of bytes, with repeated words as two terms more; the square roots of their
-shares make its vector. The first `dims` principal directions of a bounded sample of labelled documents span
+Terms of a document are pairs of byte shapes (letters count by their case alone, so a few labelled documents of one
+language serve all), with repeated words as two terms more; the square roots of their shares make its vector. The first `dims` principal directions of a bounded sample of labelled documents span
 the latent space. The sample's vectors and labels are sent to every task; each document is compared with all of
 them by exact cosine products in blocks, and its `k` nearest vote with weights similarity ** power.
 
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from folio.llm import common
 
-PAIRS = 1024  # hashed byte pairs
+#: Bytes by what they are: letters of either case, digits and bytes beyond ASCII as one each, signs and white space as they are.
+SHAPES = np.array([ord("a") if chr(b).islower() and b < 128 else ord("A") if chr(b).isupper() and b < 128 else ord("0") if chr(b).isdigit() and b < 128 else min(b, 128) for b in range(256)], np.uint8)
+PAIRS = 1024  # hashed pairs of byte shapes
 SAMPLE = 4096  # labelled documents at most
 
 
@@ -45,6 +47,7 @@ def features(texts: pa.Array, piece: int = 2_000_000) -> np.ndarray:
     raw = pa.concat_arrays([texts.cast(pa.large_binary())])
     at = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
     data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] and at[-1] else np.zeros(0, np.uint8)
+    data = SHAPES[data]
     counts = np.zeros(len(raw) * PAIRS, np.int64)
     for a in range(int(at[0]), max(int(at[0]), int(at[-1]) - 1), piece):
         b = min(a + piece, int(at[-1]) - 1)
@@ -62,7 +65,7 @@ def features(texts: pa.Array, piece: int = 2_000_000) -> np.ndarray:
         counts[base : base + len(part)] += part
     pairs = counts.reshape(len(raw), PAIRS).astype(np.float32)
     said = _repeats(pc.ascii_split_whitespace(texts)).astype(np.float32)
-    shares = np.concatenate([pairs / (pairs.sum(1, keepdims=True) + 1), said[:, :2] / (said[:, 2:] + 1)], 1)
+    shares = np.concatenate([pairs / (pairs.sum(1, keepdims=True) + 1), said[:, :2] / (said[:, 2:] + 20)], 1)  # a single repeat in a few words is no sign of junk
     return np.sqrt(shares, dtype=np.float32)
 
 
