@@ -64,6 +64,7 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
+    """TX-08."""
     return F.size(words(F.coalesce(c, F.lit("")))).cast("long")
 
 

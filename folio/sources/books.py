@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -95,13 +95,15 @@ def is_navigation(name: Column, properties: Column) -> Column:
     return F.coalesce(name, F.lit("")).rlike(NAVIGATION) | F.coalesce(F.array_contains(properties, "nav"), F.lit(False))
 
 
-def scan_folder(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """SC-08: the folder's files by path with bytes and digest; hidden ones left out, other suffixes unsupported."""
+def scan_folder(spark: SparkSession, folder: str, recursive: bool = False, slug_for: Callable[[Column], Column] = tx.filename_slug) -> DataFrame:
+    """SC-08: the folder's files by path with bytes and digest; hidden ones left out, other suffixes unsupported.
+
+    slug_for (UD-02) names a book by a Column of its file's name."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     files = reader.load(folder)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
-    rows = files.select("path", name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), tx.filename_slug(name).alias("slug"), suffix.isin(*SUFFIXES).alias("supported"), "content")
+    rows = files.select("path", name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), slug_for(name).alias("slug"), suffix.isin(*SUFFIXES).alias("supported"), "content")
     return rows.filter(~F.col("name").startswith(".")).orderBy("path")
 
 
@@ -187,3 +189,27 @@ def cover_image(items: DataFrame) -> DataFrame:
     priority = F.when(F.array_contains("properties", "cover-image"), 1).when(F.col("is_cover_meta"), 2).when(stem.startswith("cover"), 3)
     ranked = usable.withColumn("priority", priority).filter(F.col("priority").isNotNull())
     return ranked.groupBy("book").agg(F.min_by(F.struct("item", "content"), F.struct("priority", "manifest")).alias("cover")).select("book", "cover.item", "cover.content")
+
+
+def pdf_books(files: DataFrame) -> DataFrame:
+    """SC-07: PDF files (slug, name, content) as one chapter each (book, name, text, error). Needs pypdf on the executors;
+    without it, and for damaged files, the row says so."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        try:
+            import pypdf
+        except ImportError:
+            pypdf = None
+        for frame in frames:
+            out = []
+            for slug, name, content in zip(frame["slug"], frame["name"], frame["content"]):
+                try:
+                    if pypdf is None:
+                        raise RuntimeError("pypdf is not installed")
+                    pages = pypdf.PdfReader(io.BytesIO(bytes(content))).pages
+                    out.append((slug, name, "\n\n".join(p.extract_text() or "" for p in pages), None))
+                except Exception as e:  # a damaged book costs its own row
+                    out.append((slug, name, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["book", "name", "text", "error"])
+
+    return files.select("slug", "name", "content").mapInPandas(run, "book string, name string, text string, error string")
