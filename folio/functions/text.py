@@ -7,6 +7,7 @@ DC-05, DC-07.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import Column
@@ -184,21 +185,31 @@ def parse_bitrate(c: Column, default: int = 64_000) -> Column:
     return F.coalesce((number * unit).cast("long"), F.lit(default).cast("long"))
 
 
-def _count(c: Column, not_in: str) -> Column:
-    """Characters of c that a negated class leaves."""
-    return F.length(F.regexp_replace(c, not_in, ""))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once however often body uses it: the one element of an array."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _count(c: Column, others: str) -> Column:
+    """Characters of c outside runs of others."""
+    return F.length(F.regexp_replace(c, f"{others}+", ""))
 
 
 def text_quality(c: Column) -> Column:
     """DC-03: how plausible a reading is as Polish or English prose; correct prose is near 1."""
-    controls = _count(c, "[^\u0080-\u009f]")
-    replaced = _count(c, "[^�]")
-    foreign = _count(c, f"[\\x00-\\x7f\u0080-\u009f�{POLISH_LETTERS}{LOAN_LETTERS}{PROSE_SIGNS}]")
-    penalty = (CONTROL_WEIGHT * controls + REPLACEMENT_WEIGHT * replaced + FOREIGN_WEIGHT * foreign) / F.length(c)
-    letters = _count(c, r"\P{L}")
-    expected = _count(c, f"[^A-Za-z{POLISH_LETTERS}]")
-    score = expected / letters - UNEXPECTED_WEIGHT * ((letters - expected) / letters) - penalty
-    return F.when(F.length(c) == 0, 0.0).when(letters == 0, -penalty).otherwise(score)
+
+    def score(beyond: Column) -> Column:
+        controls = _count(beyond, "[^\u0080-\u009f]")
+        replaced = _count(beyond, "[^�]")
+        foreign = _count(beyond, f"[\u0080-\u009f�{POLISH_LETTERS}{LOAN_LETTERS}{PROSE_SIGNS}]")
+        penalty = (CONTROL_WEIGHT * controls + REPLACEMENT_WEIGHT * replaced + FOREIGN_WEIGHT * foreign) / F.length(c)
+        plain = _count(c, "[^A-Za-z]")
+        found = F.struct((plain + _count(beyond, r"\P{L}")).alias("letters"), (plain + _count(beyond, f"[^{POLISH_LETTERS}]")).alias("expected"), penalty.alias("penalty"))
+        good = lambda f: f["expected"] / f["letters"] - UNEXPECTED_WEIGHT * ((f["letters"] - f["expected"]) / f["letters"]) - f["penalty"]
+        return let(found, lambda f: F.when(f["letters"] == 0, -f["penalty"]).otherwise(good(f)))
+
+    # what stands beyond ASCII is mostly short, and all but two counts need only that
+    return F.when(F.length(c) == 0, 0.0).when(c.isNotNull(), let(F.regexp_replace(c, r"[\x00-\x7f]+", ""), score))
 
 
 def bom_encoding(raw: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import language_code
+from folio.functions.text import language_code, let
 
 # Sizes and thresholds of the decision, and the languages that can be narrated.
 MIN_SAMPLE_CHARS, MIN_TOTAL_CHARS, MIN_CONFIDENCE, SAMPLES, MIN_PARAGRAPH = 200, 400, 0.65, 5, 40
@@ -25,13 +25,20 @@ def classify(text: Column) -> Column:
     """LG-01: struct<language, confidence>: the language of most function words and its share among all hits.
 
     A stand-in that needs no model: short or wordless text has no language and confidence 0."""
+    listed = sorted({w for words in FUNCTION_WORDS.values() for w in words.split(" ")})
     tokens = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[^\w]+", " ")), " ")
-    count = lambda words: F.size(F.filter(tokens, lambda x: x.isin(words.split(" "))))
-    hits = {code: count(words) for code, words in FUNCTION_WORDS.items()}
-    total = sum(hits.values(), F.lit(0))
-    best = F.greatest(*hits.values())
-    name = F.coalesce(*(F.when(n == best, code) for code, n in sorted(hits.items())))
-    return F.struct(F.when(total > 0, name).otherwise("").alias("language"), F.when(total > 0, F.round(best / total, 4)).otherwise(0.0).alias("confidence"))
+
+    def decide_(hits: Column) -> Column:
+        best, total = F.greatest(*(hits[c] for c in FUNCTION_WORDS)), sum((hits[c] for c in FUNCTION_WORDS), F.lit(0))
+        name = F.coalesce(*(F.when(hits[code] == best, code) for code in sorted(FUNCTION_WORDS)))
+        return F.struct(F.when(total > 0, name).otherwise("").alias("language"), F.when(total > 0, F.round(best / total, 4)).otherwise(0.0).alias("confidence"))
+
+    def count(found: Column) -> Column:
+        hits = lambda words: F.size(F.filter(found, lambda x: x.isin(words.split(" "))))
+        return let(F.struct(*(hits(words).alias(code) for code, words in FUNCTION_WORDS.items())), decide_)
+
+    # one pass over the text for all words, then short arrays
+    return let(F.filter(tokens, lambda x: x.isin(listed)), count)
 
 
 def gather_samples(chapters: DataFrame) -> DataFrame:
