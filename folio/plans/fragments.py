@@ -103,11 +103,24 @@ def _wer(spark: SparkSession, d: str) -> DataFrame:
 
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     turns = load(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("heard"), before.alias("expected"))
-    short = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 40), " ")
+    short = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 16), " ")
     return turns.filter("expected IS NOT NULL").withColumn("wer", quality.word_error_rate(short("expected"), short("heard")))
 
 
-@query()
+def _tokens(text: str) -> str:
+    return rf"list_filter(string_split_regex(regexp_replace(lower(array_to_string(string_split({text}, ' ')[1:16], ' ')), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
+
+
+#: Few enough words that each is one ASCII character: the byte distance of the oracle is then that of words.
+_SYMBOLS = "array_to_string(list_transform({0}, lambda w: chr(32 + list_position(v, w))), '')"
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+w AS (SELECT conv_id, turn, {_tokens("before")} AS a, {_tokens("text")} AS b FROM t WHERE before IS NOT NULL),
+v AS (SELECT *, list_distinct(list_concat(a, b)) AS v FROM w)
+SELECT conv_id, turn, CASE WHEN len(a) > 0 THEN round(levenshtein({_SYMBOLS.format("a")}, {_SYMBOLS.format("b")}) / len(a), 4) WHEN len(b) = 0 THEN 0.0 ELSE 1.0 END AS wer FROM v
+""")
 def wer(spark, d):
     return _wer(spark, d).select("conv_id", "turn", "wer")
 
