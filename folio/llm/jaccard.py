@@ -6,14 +6,18 @@ Sets are distinct word shingles as 64-bit hashes; two documents link at a Jaccar
    key with any number of documents spreads over tasks. There, equal sets become one class, and classes whose
    similarity to a leader is verified form its group. A group is connected by construction.
 2. The token-group matrix holds, by token, the groups whose union of prefixes has it. Prefixes are taken in one
-   global order (rare tokens first): two sets that link share a token of their prefixes. Each class of the
-   smaller group of a pair counts its prefix tokens in the other group's union; the count bounds the overlap
-   with every member, and only groups whose bound reaches the threshold are opened.
-3. Opening compares whole sets: first the best query with the group's leader, then, for groups still in
-   different components, every query with every member. Components of groups give those of documents.
-
-Nothing is capped: the limits on leaders tried in step 1 only decide which groups form, and step 2 finds every
-link between groups.
+   global order (rare tokens first): two sets that link share a token of their prefixes. Classes that share no
+   token are done. In a first reading each class asks only for one central class of each of its tokens, a row per
+   cell at most; classes that meet one often
+   are of its family. Members are compared with the central class that they meet most, and those outside the part
+   of the family that this links with the whole family, in blocks.
+3. In the second reading the groups of a component are one. Each class of the smaller component of a pair counts
+   its prefix tokens in the other's union, its own family apart; the count bounds the overlap with every member,
+   and only components whose bound reaches the threshold are opened, again in blocks. Components of groups give
+   those of documents.
+
+Nothing is capped: the limits on leaders tried in step 1 and the first reading of step 2 only decide which groups
+form; step 3 finds every link between groups.
 
 Defined results: null text counts as empty; texts without words have an empty set and link with nothing; rows
 that share a doc_id are one node of the graph; a row with a null doc_id links with nothing and has a null
@@ -37,10 +41,16 @@ from folio.llm.components import components
 from folio.llm.words import mix, shingle_sets
 
 TEXTS = "rid long, doc_id long, n int, gk long, text string, stats binary"
-GROUPED = "kind int, rid long, doc_id long, n int, cid long, gid long, leader boolean, bucket long, cells binary"
-MATRIX = "q long, g long, shared int, nq int, size_q int, low int, high int"
+GROUPED = "kind int, rid long, doc_id long, n int, cid long, gid long, leader boolean, last long, bucket long, cells binary"
+WEIGHTS = "cid long, shares long, weight long"
+STARS = "q long, s long, shared int, nq int"
+RENAMED = "part long, bucket long, cells binary"
+EDGES = "u long, v long"
+MATRIX = "q long, gq long, g long, shared int, nq long, last long, low long, high long, last_low long, last_high long"
 #: Tokens of the list that goes last in the order, 16 bytes each; which tokens are in it affects speed alone.
 FREQUENT = 1 << 17
+#: Members of a group that are opened together: their whole sets are held at once.
+BLOCK_MEMBERS = 256
 #: Candidate rows up to which their ids are broadcast, 8 bytes each; beyond, a shuffle join.
 BROADCAST_ROWS = 500_000
 
@@ -82,33 +92,35 @@ def _unpack(raw: bytes, dtypes: list) -> list[np.ndarray]:
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> set sizes and least shingles; at the end, the tokens that occur more than once in the task."""
-    part, seq, tokens, counts, fresh = TaskContext.get().partitionId(), 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-
-    def merge():
-        nonlocal tokens, counts, fresh
-        if not fresh:
-            return
-        found, at = np.unique(np.concatenate([tokens, *fresh]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([counts, np.ones(sum(map(len, fresh)))]), minlength=len(found)).astype(np.int64)
-        tokens, fresh = found, []
-        if len(tokens) > 6_000_000:  # those seen once in so many are not frequent here
-            tokens, counts = tokens[counts > 1], counts[counts > 1]
+    part, seq, fresh, held, repeated = TaskContext.get().partitionId(), 0, [], 0, []
+
+    def count():
+        """Of the tokens gathered, those of more than one document."""
+        nonlocal fresh, held
+        tokens = np.concatenate(fresh)
+        tokens.sort()
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        counts = np.diff(np.concatenate([starts, [len(tokens)]]))
+        repeated.append((tokens[starts[counts > 1]], counts[counts > 1]))
+        fresh, held = [], 0
 
     for batch in common.byte_slices(batches, "text", 4_000_000):
         sets, n = shingle_sets(batch.column(1)), batch.num_rows
         least = np.array([mix(s ^ np.uint64(0x51ED270B)).min() if len(s) else 0 for s in sets], np.uint64)
         fresh.append(np.concatenate(sets))
-        if sum(map(len, fresh)) > 2_000_000:
-            merge()
+        held += len(fresh[-1])
+        if held > 2_000_000:
+            count()
         yield pa.RecordBatch.from_arrays(
             [pa.array((part << 32) + np.arange(seq, seq + n, dtype=np.int64)), batch.column(0), pa.array(np.array([len(s) for s in sets], np.int32)), pa.array(_signed(least)), batch.column(1), pa.nulls(n, pa.binary())],
             ["rid", "doc_id", "n", "gk", "text", "stats"],
         )
         seq += n
-    merge()
-    keep = counts > 1
-    if keep.any():
-        tokens, counts = tokens[keep], counts[keep]
+    if held:
+        count()
+    if repeated:
+        tokens, at = np.unique(np.concatenate([r[0] for r in repeated]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([r[1] for r in repeated]), minlength=len(tokens)).astype(np.int64)
         top = np.sort(np.argsort(-counts, kind="stable")[:FREQUENT])
         row = [None, None, None, None, None, _pack([tokens[top], counts[top]])]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary()))], ["rid", "doc_id", "n", "gk", "text", "stats"])
@@ -131,21 +143,40 @@ def _frequent(texts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], (len(tokens) - 1 - np.arange(len(tokens)))[order].astype(np.int64)
 
 
-def in_order(tokens: np.ndarray, frequent: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Sorted tokens in the global order: by hash, then the frequent ones."""
+def in_order(tokens: np.ndarray, frequent: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens in the global order, by hash and then the frequent ones, and their places in it as integers."""
+    keys = (tokens >> np.uint64(2)).astype(np.int64)
     if not len(frequent):
-        return tokens
+        return tokens, keys
     at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
     is_frequent = frequent[at] == tokens
     if not is_frequent.any():
-        return tokens
-    late = tokens[is_frequent]
-    return np.concatenate([tokens[~is_frequent], late[np.argsort(places[at[is_frequent]])]])
+        return tokens, keys
+    keys[is_frequent] = (1 << 62) + places[at[is_frequent]]
+    order = np.argsort(keys, kind="stable")
+    return tokens[order], keys[order]
+
+
+def can_link(shared, nq, last, low, high, last_low, last_high, percent: int):
+    """Whether a query can link with a set of a group, from the prefix tokens they share at most.
+
+    Sets of low..high tokens whose last prefix tokens lie at last_low..last_high in the order. What two sets have
+    in common lies in both prefixes up to the earlier of their last prefix tokens, or beyond the prefix of the one
+    whose last prefix token that is. Works on numbers, arrays and Columns alike; the first gives numpy functions."""
+    np_like = not hasattr(nq, "isNull")
+    ceil = (lambda x: -(-x * percent // 100)) if np_like else (lambda x: F.ceil(x * percent / 100))
+    floor = (lambda x: x * 100 // percent) if np_like else (lambda x: F.floor(x * 100 / percent))
+    least, most = (np.minimum, np.maximum) if np_like else (F.least, F.greatest)
+    low, high = most(low, ceil(nq)), least(high, floor(nq))
+    reach = lambda beyond, other: (shared + beyond - 1) * (100 + percent) >= percent * (nq + other)
+    mine = (last <= last_high) & reach(ceil(nq), low)
+    theirs = (last > last_low) & reach(ceil(high), high)
+    return (low <= high) & (mine | theirs)
 
 
 def _group(frequent: np.ndarray, places: np.ndarray, buckets: int, percent: int, tries: int):
     """Texts sorted by least shingle and size -> members of groups, and the cells of the token-group matrix."""
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
     names = [f.split(" ")[0] for f in GROUPED.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +206,7 @@ def _group(frequent: np.ndarray, places: np.ndarray, buckets: int, percent: int,
                 if len(mine):
                     used, who = np.unique(at[mine], return_inverse=True)
                     columns = [tokens[mine], who.astype(np.int32), *np.ascontiguousarray(meta[used].T)]
-                    yield rows([(1, None, None, None, None, None, None, b, _pack(columns))])
+                    yield rows([(1, None, None, None, None, TaskContext.get().partitionId(), None, None, b, _pack(columns))])
 
         for batch in common.byte_slices(batches, "text", 4_000_000):
             sets = shingle_sets(batch.column(4))
@@ -186,7 +217,7 @@ def _group(frequent: np.ndarray, places: np.ndarray, buckets: int, percent: int,
                         prefixes, sizes = [], {}
                     classes, leaders, last = {}, [], key
                 if not len(s) or doc_id is None:
-                    members.append((0, rid, doc_id, len(s), None, None, False, None, None))
+                    members.append((0, rid, doc_id, len(s), None, None, False, None, None, None))
                     continue
                 digest = xxhash.xxh128_digest(s.tobytes())
                 known = classes.get(digest)
@@ -200,11 +231,12 @@ def _group(frequent: np.ndarray, places: np.ndarray, buckets: int, percent: int,
                     group = sizes[gid]
                     group[0], group[1], group[2] = group[0] + 1, min(group[1], len(s)), max(group[2], len(s))
                     known = classes[digest] = cid, gid
-                    prefix = in_order(s, frequent, places)[: len(s) - need(len(s), percent) + 1]
+                    ordered, keys = in_order(s, frequent, places)
+                    prefix = ordered[: len(s) - need(len(s), percent) + 1].copy()
                     prefixes.append((cid, gid, len(s), prefix))
-                    members.append((0, rid, doc_id, len(s), cid, gid, cid == gid, None, None))
+                    members.append((0, rid, doc_id, len(s), cid, gid, cid == gid, int(keys[len(prefix) - 1]), None, None))
                 else:
-                    members.append((0, rid, doc_id, len(s), *known, None, None, None))
+                    members.append((0, rid, doc_id, len(s), *known, None, None, None, None))
             if len(members) > 20_000:
                 yield rows(members)
                 members = []
@@ -215,60 +247,33 @@ def _group(frequent: np.ndarray, places: np.ndarray, buckets: int, percent: int,
     return run
 
 
-def _overlaps(percent: int, chunk: int = 2_000_000):
-    """Cells of a bucket -> (query class, group, prefix tokens of the class in the group's union)."""
-    kinds = [np.uint64, np.int32, *[np.int64] * 6]
+class _Runs:
+    """The cells of a bucket as runs of one token, those with a single group left out."""
 
-    def pairs(cells: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts, base = [], 0
+    def __init__(self, cells: list[bytes], columns: int):
+        tokens, who, base, meta = [], [], 0, []
         for raw in cells:
-            tokens, who, *meta = _unpack(raw, kinds)
-            parts.append((tokens, who.astype(np.int64) + base, meta))
-            base += len(meta[0])
-        tokens, who = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        cid, gid, n, size, low, high = (np.concatenate([p[2][k] for p in parts]) for k in range(6))
-        order = np.argsort(tokens, kind="stable")
+            t, w, *values = _unpack(raw, [np.uint64, np.int32, *[np.int64] * columns])
+            tokens.append(t)
+            who.append(w.astype(np.int64) + base)
+            meta.append(values)
+            base += len(values[0])
+        tokens, who = np.concatenate(tokens), np.concatenate(who)
+        #: of each class: itself, its group, its size, and what else the cells hold
+        self.meta = [np.concatenate([m[k] for m in meta]) for k in range(columns)]
+        self.cid, self.gid, self.n = self.meta[:3]
+        order = np.lexsort((self.gid[who], tokens))
         tokens, who = tokens[order], who[order]
         first = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-        run = np.cumsum(first) - 1
-        length = np.bincount(run)
-        keep = length[run] > 1
-        run, who = run[keep], who[keep]
-        if not len(run):
-            return
-        # the groups of each run, once
-        group = gid[who]
-        order = np.lexsort((group, run))
-        run, who, group = run[order], who[order], group[order]
-        new = np.concatenate([[True], (run[1:] != run[:-1]) | (group[1:] != group[:-1])])
-        heads, head_run = who[new], run[new]  # any class stands for its group: its columns hold the group's size and range
-        start = np.searchsorted(head_run, run, "left")
-        count = np.searchsorted(head_run, run, "right") - start
-        some = count > 1
-        who, start, count = who[some], start[some], count[some]
-        ends = np.cumsum(count)
-        found: dict[str, list] = {"key": [], "n": []}
-        a = 0
-        while a < len(who):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + chunk, "right")))
-            q = np.repeat(who[a:b], count[a:b])
-            g = heads[np.repeat(start[a:b], count[a:b]) + np.arange(len(q)) - np.repeat(ends[a:b] - count[a:b] - (ends[a - 1] if a else 0), count[a:b])]
-            # queries come from the smaller group of a pair; sizes must allow a link
-            ok = (gid[q] != gid[g]) & ((size[q] < size[g]) | ((size[q] == size[g]) & (gid[q] < gid[g])))
-            ok &= (high[g] * 100 >= n[q] * percent) & (low[g] * percent <= n[q] * 100)
-            key, times = np.unique(q[ok] * len(cid) + g[ok], return_counts=True)
-            found["key"].append(key)
-            found["n"].append(times)
-            a = b
-        if not found["key"]:
-            return
-        key, at = np.unique(np.concatenate(found["key"]), return_inverse=True)
-        times = np.bincount(at, weights=np.concatenate(found["n"]), minlength=len(key)).astype(np.int32)
-        q, g = key // len(cid), key % len(cid)
-        # heads of one group differ between runs: name the pair by its group
-        if len(q):
-            columns = (cid[q], gid[g], times, n[q].astype(np.int32), size[q].astype(np.int32), low[g].astype(np.int32), high[g].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "g", "shared", "nq", "size_q", "low", "high"])
+        run, group = np.cumsum(first) - 1, self.gid[who]
+        new = first | np.concatenate([[True], group[1:] != group[:-1]])
+        keep = np.bincount(run, weights=new)[run] > 1
+        #: place of the run and class of each cell, and whether it is its group's first in the run
+        self.run, self.who, self.new = np.unique(run[keep], return_inverse=True)[1], who[keep], new[keep]
+
+
+def _by_bucket(work, columns: int):
+    """Rows (bucket, cells) sorted by bucket -> what work makes of each bucket's cells."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, cells = None, []
@@ -276,36 +281,232 @@ def _overlaps(percent: int, chunk: int = 2_000_000):
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if b != bucket:
                     if cells:
-                        yield from pairs(cells)
+                        yield from work(_Runs(cells, columns))
                     bucket, cells = b, []
                 cells.append(raw)
         if cells:
-            yield from pairs(cells)
+            yield from work(_Runs(cells, columns))
 
     return run
 
 
+def _rename(group: int | None, facts_: int, held: int):
+    """Rows (part, facts, bucket, cells) sorted by part, its facts first -> the cells of the classes that have facts.
+
+    facts: rows of `facts_` numbers, a class first, sorted by class. New cells hold (class, group, size) and the other
+    facts; `group` is the place of the class's new group among them. Old cells hold `held` numbers for a class."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, facts = None, None
+        for batch in batches:
+            for p, raw, bucket, cells in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
+                if raw.is_valid:
+                    part, facts = p, np.array(raw.values.flatten().to_numpy(zero_copy_only=False)).reshape(-1, facts_).T
+                    continue
+                if p != part:
+                    continue  # none of its classes shares a token
+                tokens, who, cid, gid, n, *_ = _unpack(cells.as_py(), [np.uint64, np.int32, *[np.int64] * held])
+                at = np.minimum(np.searchsorted(facts[0], cid), facts.shape[1] - 1)
+                some = facts[0][at] == cid
+                keep = some[who]
+                if keep.any():
+                    place = np.cumsum(some) - 1
+                    new = [f[at[some]] for f in facts]
+                    columns = [cid[some], gid[some] if group is None else new[group], n[some], *(f for k, f in enumerate(new) if k not in (0, group))]
+                    packed = _pack([tokens[keep], place[who[keep]].astype(np.int32), *columns])
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([bucket], pa.int64()), pa.array([packed], pa.binary())], ["part", "bucket", "cells"])
+
+    return run
+
+
+def _renamed(cells: DataFrame, facts: DataFrame, names: tuple[str, ...], group: int | None, held: int) -> DataFrame:
+    """cells (part, bucket, cells) with the facts (cid, ...) of their classes; classes without facts are left out."""
+    by_part = facts.select(F.shiftright("cid", 32).alias("part"), F.array(*(F.col(n).cast("long") for n in names)).alias("f")).groupBy("part").agg(F.array_sort(F.collect_list("f")).alias("facts"))
+    rows = by_part.select("part", "facts", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("cells"))
+    rows = rows.unionByName(cells.select("part", F.lit(None).cast("array<array<bigint>>").alias("facts"), "bucket", "cells"))
+    dealt = rows.repartition("part").sortWithinPartitions("part", F.col("bucket").asc_nulls_first())
+    return dealt.mapInArrow(_rename(group, len(names), held), RENAMED)
+
+
+def _read(cells: DataFrame, work, columns: int, schema: str) -> DataFrame:
+    """What work makes of the matrix, bucket by bucket."""
+    return cells.select("bucket", "cells").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(work, columns), schema)
+
+
+def _weights(runs: _Runs) -> Iterator[pa.RecordBatch]:
+    """(class, its tokens that other groups have, how many cells those have)."""
+    if len(runs.run):
+        who, shares = np.unique(runs.who, return_counts=True)
+        weight = np.bincount(runs.who, weights=np.bincount(runs.run)[runs.run])[who].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (runs.cid[who], shares.astype(np.int64), weight)], ["cid", "shares", "weight"])
+
+
+def _stars(runs: _Runs) -> Iterator[pa.RecordBatch]:
+    """(query class, the central class of its tokens, tokens, its size): a row for each cell at most.
+
+    Central is the class of a token whose tokens have the most cells: of near copies, the one they were made from."""
+    if not len(runs.run):
+        return
+    weight = runs.meta[3]
+    order = np.lexsort((runs.cid[runs.who], weight[runs.who], runs.run))
+    last = np.concatenate([np.flatnonzero(np.diff(runs.run[order])), [len(order) - 1]])
+    hub = runs.who[order[last]][runs.run]
+    other = hub != runs.who
+    key, shared = np.unique(runs.who[other] * len(runs.cid) + hub[other], return_counts=True)
+    q, s = key // len(runs.cid), key % len(runs.cid)
+    if len(q):
+        columns = (runs.cid[q], runs.cid[s], shared.astype(np.int32), runs.n[q].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["q", "s", "shared", "nq"])
+
+
+def _overlaps(percent: int, chunk: int = 2_000_000):
+    """(query class, its component, component, prefix tokens of the class in that one's union), where a link can be."""
+
+    def work(runs: _Runs) -> Iterator[pa.RecordBatch]:
+        if not len(runs.run):
+            return
+        cid, gid, n, size, low, high, last, shares, last_low, last_high, most, family = runs.meta
+        # a class stands for its component, whose facts its columns hold, and for its family in it
+        order = np.lexsort((family[runs.who], gid[runs.who], runs.run))
+        keys = np.stack([runs.run[order], gid[runs.who[order]], family[runs.who[order]]])
+        new = np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])
+        heads, head_run = runs.who[order][new], runs.run[order][new]
+        start = np.searchsorted(head_run, runs.run, "left")
+        count = np.searchsorted(head_run, runs.run, "right") - start
+        who, ends, found, times_found, a = runs.who, np.cumsum(count), [], [], 0
+        names, first_of, group_of = np.unique(gid, return_index=True, return_inverse=True)
+        while a < len(who):
+            done = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + chunk, "right")))
+            q = np.repeat(who[a:b], count[a:b])
+            g = heads[np.repeat(start[a:b], count[a:b]) + np.arange(len(q)) - np.repeat(ends[a:b] - count[a:b] - done, count[a:b])]
+            # queries come from the smaller component of a pair; families have been compared
+            ok = (gid[q] != gid[g]) & (family[q] != family[g]) & ((size[q] < size[g]) | ((size[q] == size[g]) & (gid[q] < gid[g])))
+            q, g = q[ok], g[ok]
+            ok = can_link(np.minimum(shares[q], most[g]), n[q], last[q], low[g], high[g], last_low[g], last_high[g], percent)
+            key, times = np.unique(q[ok] * len(names) + group_of[g[ok]], return_counts=True)
+            found.append(key)
+            times_found.append(times)
+            a = b
+        key, at = np.unique(np.concatenate(found), return_inverse=True)
+        times = np.bincount(at, weights=np.concatenate(times_found), minlength=len(key)).astype(np.int32)
+        q, g = key // len(names), key % len(names)
+        if len(q):
+            f = first_of[g]
+            columns = (cid[q], gid[q], names[g], times, n[q], last[q], low[f], high[f], last_low[f], last_high[f])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split(" ")[0] for c in MATRIX.split(", ")])
+
+    return work
+
+
 def _verify(percent: int):
-    """(a, b, text_a, text_b) sorted by b -> the pairs that link."""
+    """(a, b, text_a, text_b) -> the pairs that link."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.byte_slices(batches, "text_a", 4_000_000):
-            texts = [batch.column(k) for k in (2, 3)]
-            left, right = (c.dictionary_encode() for c in texts)
+        for batch in common.byte_slices(batches, "text_a", 2_000_000):
+            left, right = (batch.column(k).dictionary_encode() for k in (2, 3))
             sets = [shingle_sets(c.dictionary) for c in (left, right)]
             ok = [linked(sets[0][x], sets[1][y], percent) for x, y in zip(left.indices.to_pylist(), right.indices.to_pylist())]
-            yield batch.select([0, 1]).filter(pa.array(ok))
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def links(members: list[np.ndarray], queries: list[np.ndarray], percent: int, width: int = 4096) -> np.ndarray:
+    """Which queries (rows) link with which members (columns), from exact overlaps of whole sets."""
+    def columns(sets):
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+
+    (mine, m), (asked, q) = columns(members), columns(queries)
+    shared = np.intersect1d(mine, asked)
+    overlap = np.zeros((len(queries), len(members)), np.float32)
+    at = [np.searchsorted(shared, x) for x in (mine, asked)]
+    hit = [(a < len(shared)) & (shared[np.minimum(a, len(shared) - 1)] == x) if len(shared) else np.zeros(len(x), bool) for a, x in zip(at, (mine, asked))]
+    (mine, m), (asked, q) = ((a[h], o[h]) for a, h, o in zip(at, hit, (m, q)))
+    for low in range(0, len(shared), width):
+        left, right = np.zeros((len(queries), width), np.float32), np.zeros((len(members), width), np.float32)
+        now = (asked >= low) & (asked < low + width)
+        left[q[now], asked[now] - low] = 1
+        now = (mine >= low) & (mine < low + width)
+        right[m[now], mine[now] - low] = 1
+        overlap += left @ right.T
+    overlap = np.rint(overlap).astype(np.int64)
+    union = np.array([len(s) for s in queries])[:, None] + np.array([len(s) for s in members])[None] - overlap
+    return (overlap > 0) & (100 * overlap >= percent * union)
+
+
+def _compare(percent: int, at_once: int = 128):
+    """Members of a block and then its queries (key, block, kind, gid, text) -> edges between the groups that link.
+
+    Edges that add nothing to those of the block are left out."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, members, queries, parent, edges = None, [], [], {}, []
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def ask():
+            if members and queries:
+                for k, j in zip(*np.nonzero(links([m[1] for m in members], [q[1] for q in queries], percent))):
+                    u, v = find(queries[k][0]), find(members[j][0])
+                    if u != v:
+                        parent[max(u, v)] = min(u, v)
+                        edges.append((queries[k][0], members[j][0]))
+            queries.clear()
+
+        for batch in common.byte_slices(batches, "text", 4_000_000):
+            key, block, kind, gid = (batch.column(k).to_pylist() for k in range(4))
+            for k, s in enumerate(shingle_sets(batch.column(4))):
+                if (key[k], block[k]) != last:
+                    ask()
+                    last = key[k], block[k]
+                    members.clear()
+                    parent.clear()
+                if kind[k] == 0:
+                    members.append((gid[k], s))
+                    continue
+                queries.append((gid[k], s))
+                if len(queries) >= at_once:
+                    ask()
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["u", "v"])
+                edges.clear()
+        ask()
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["u", "v"])
+
+    return run
+
+
+def _compared(members: DataFrame, queries: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) between groups: of members (key, gid, rid) and queries (key, gid, rid) of the same key, compared in
+    blocks of members, each with all the key's queries."""
+    members, queries = common.materialize(members, "members"), common.materialize(queries, "queries")
+    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    keys = members.join(queries.select("key").distinct(), "key", "left_semi")
+    parts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", blocks.alias("blocks"))
+    shown = keys.join(parts, "key").select("key", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "gid", "rid")
+    asking = queries.join(parts, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "gid", "rid")
+    rows = common.materialize(shown.unionByName(asking), "opened")
+    dealt = rows.join(_texts_of(texts, rows), "rid").select("key", "block", "kind", "gid", "text").repartition("key", "block").sortWithinPartitions("key", "block", "kind", "gid")
+    return common.materialize(dealt.mapInArrow(_compare(percent), EDGES).distinct(), "links")
+
+
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rid, text) of the rows that a written table names."""
+    ids = wanted.select("rid").distinct()
+    if wanted.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return texts.select("rid", "text").join(ids, "rid", "left_semi")
+
+
 def _linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, rid_a, rid_b), the (a, b) whose whole sets link."""
     pairs = common.materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("rid_a").alias("rid")).unionByName(pairs.select(F.col("rid_b").alias("rid"))).distinct()
-    if pairs.count() * 2 <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    some = texts.select("rid", "text").join(wanted, "rid", "left_semi")
+    some = _texts_of(texts, pairs.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")))
     left = pairs.join(some.withColumnsRenamed({"rid": "rid_a", "text": "text_a"}), "rid_a")
     both = left.join(some.withColumnsRenamed({"rid": "rid_b", "text": "text_b"}), "rid_b")
     return common.materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent), "a long, b long"), "links")
@@ -319,31 +520,50 @@ def jaccard_components(docs: DataFrame, percent: int = 75, buckets: int = 64, fr
     real = texts.filter("rid IS NOT NULL")
     dealt = real.select("rid", "doc_id", "n", "gk", "text").repartitionByRange("gk", "n", "rid").sortWithinPartitions("gk", "n", "rid")
     grouped = common.materialize(dealt.mapInArrow(_group(frequent, places, buckets, percent, tries), GROUPED), "groups")
-    members = grouped.filter("kind = 0").select("rid", "doc_id", "n", "cid", "gid", "leader")
-    cells = grouped.filter("kind = 1").select("bucket", "cells").repartition("bucket").sortWithinPartitions("bucket")
-    shared = cells.mapInArrow(_overlaps(percent), MATRIX).groupBy("q", "g").agg(F.sum("shared").alias("shared"), *(F.max(c).alias(c) for c in ("nq", "size_q", "low", "high")))
-    # overlap <= shared + what lies beyond the prefixes; a link needs percent / (100 + percent) of both sizes
-    least = lambda n: F.ceil(n * percent / 100)
-    other = F.greatest(F.col("low"), least(F.col("nq")))
-    beyond = F.greatest(least(F.col("nq")), least(F.least(F.col("high"), F.floor(F.col("nq") * 100 / percent)))) - 1
-    open_ = shared.filter((F.col("shared") + beyond) * (100 + percent) >= percent * (F.col("nq") + other))
-    classes = members.filter("leader IS NOT NULL").filter("cid IS NOT NULL").select("cid", "gid", "rid", "n", "leader")
-    asked = classes.select(F.col("cid").alias("q"), F.col("gid").alias("gq"), F.col("rid").alias("rid_a"))
-    candidates = common.materialize(open_.join(asked, "q").select("q", "gq", "rid_a", "nq", "g", "shared"), "candidates")
-    # first the best query of each pair of groups with the leader
-    best = candidates.groupBy("gq", "g").agg(F.max_by(F.struct("q", "rid_a"), F.struct("shared", "q")).alias("best"))
-    leaders = classes.filter("leader").select(F.col("gid").alias("g"), F.col("rid").alias("rid_b"))
-    first = best.join(leaders, "g").select(F.col("gq").alias("a"), F.col("g").alias("b"), F.col("best.rid_a").alias("rid_a"), "rid_b")
-    edges = _linked_pairs(first, texts, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(edges)
-    # then every query with every member, between groups still apart
-    root_of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
-    apart = candidates.join(root_of("gq"), "gq", "left").join(root_of("g"), "g", "left")
-    apart = apart.filter(F.coalesce("root_gq", "gq") != F.coalesce("root_g", "g"))
-    inside = classes.select(F.col("gid").alias("g"), F.col("rid").alias("rid_b"), F.col("n").alias("nb"))
-    rest = apart.join(inside, "g").filter((F.least("nq", "nb") * 100 >= F.greatest("nq", "nb") * percent))
-    more = _linked_pairs(rest.select(F.col("gq").alias("a"), F.col("g").alias("b"), "rid_a", "rid_b"), texts, percent)
-    edges = edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+    members = grouped.filter("kind = 0").select("rid", "doc_id", "n", "cid", "gid", "leader", "last")
+    cells = grouped.filter("kind = 1").select(F.col("gid").alias("part"), "bucket", "cells")
+    classes = members.filter("leader IS NOT NULL AND cid IS NOT NULL").select("cid", "gid", "rid", "n", "leader", "last")
+
+    # classes that share no prefix token with another group are done: most cells go here
+    shares = _read(cells, _weights, 6, WEIGHTS).groupBy("cid").agg(F.sum("shares").alias("shares"), F.sum("weight").alias("weight"))
+    shares = common.materialize(shares, "shares")
+    kept = common.materialize(_renamed(cells, shares, ("cid", "weight"), None, 6), "kept")
+
+    # first reading: each class with the central classes of its tokens
+    stars = _read(kept, _stars, 4, STARS).groupBy("q", "s").agg(F.sum("shared").alias("shared"), F.max("nq").alias("nq"))
+    stars = common.materialize(stars, "stars")
+
+    # classes that share a fifth of their prefix with a central class are of its family
+    near = stars.filter(F.col("shared") * 1000 >= F.col("nq") * (100 - percent) * 2)
+    kin = components(near.select(F.col("q").alias("u"), F.col("s").alias("v")))
+    family = classes.select("cid", "gid", "rid").join(kin.select(F.col("node").alias("cid"), F.col("root").alias("family")), "cid")
+    family = common.materialize(family, "families")
+    # each with the central class that it meets most
+    best = near.groupBy("q").agg(F.max_by("s", F.struct("shared", "s")).alias("s"))
+    here, there = (family.select(F.col("cid").alias(c), F.col("gid").alias(g), F.col("rid").alias(r)) for c, g, r in (("q", "a", "rid_a"), ("s", "b", "rid_b")))
+    first = best.join(here, "q").join(there, "s").filter("a <> b").select("a", "b", "rid_a", "rid_b")
+    met = _linked_pairs(first, texts, percent).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    # and those outside the family's largest part with all of it
+    parts = family.join(components(met).select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("part", F.coalesce("root", "gid"))
+    parts = common.materialize(parts.select(F.col("family").alias("key"), "part", "gid", "rid"), "parts")
+    largest = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    apart = parts.join(largest, "key").filter("part <> largest").select("key", "gid", "rid")
+    edges = common.materialize(met.unionByName(_compared(parts.select("key", "gid", "rid"), apart, texts, percent)), "edges")
+    roots = common.materialize(components(edges), "roots")
+
+    # second reading, with the groups of a component as one, and without classes that share no token
+    some = classes.join(shares.select("cid", "shares"), "cid").join(family.select("cid", "family"), "cid", "left").withColumn("family", F.coalesce("family", "cid")).join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
+    whole = classes.join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").groupBy(F.coalesce("root", "gid").alias("root"))
+    whole = whole.agg(F.count(F.lit(1)).alias("size"), F.min("n").cast("long").alias("low"), F.max("n").cast("long").alias("high"), F.min("last").alias("last_low"), F.max("last").alias("last_high"))
+    whole = whole.join(some.groupBy("root").agg(F.max("shares").alias("most")), "root")
+    names = ("cid", "root", "size", "low", "high", "last", "shares", "last_low", "last_high", "most", "family")
+    facts = some.select("cid", "root", "last", "shares", "family").join(whole, "root")
+    dealt = _read(_renamed(kept, facts, names, 1, 4), _overlaps(percent), 12, MATRIX)
+    shared = dealt.groupBy("q", "gq", "g").agg(F.sum("shared").alias("shared"), *(F.max(c).alias(c) for c in ("nq", "last", "low", "high", "last_low", "last_high")))
+    open_ = shared.filter(can_link(*(F.col(c) for c in ("shared", "nq", "last", "low", "high", "last_low", "last_high")), percent))
+    asked = open_.join(classes.select(F.col("cid").alias("q"), "gid", "rid"), "q").select(F.col("g").alias("key"), "gid", "rid")
+    inside = classes.join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").select(F.coalesce("root", "gid").alias("key"), "gid", "rid")
+    edges = edges.unionByName(_compared(inside, asked, texts, percent))
     # rows that share a doc_id are one node
     spread = members.filter("gid IS NOT NULL").groupBy("doc_id").agg(F.min("gid").alias("u"), F.collect_set("gid").alias("v")).filter(F.size("v") > 1)
     edges = edges.unionByName(spread.select("u", F.explode("v").alias("v")))
