@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ class PieceEncoder:
         self.known = self.key_bytes = 0
         self.index = _Index(self.pieces, " " if self.spaced else "")
         self.first = _Index(self.pieces, "")
-        self.lens, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.lens, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int32)  # the table is far below 2 GB
         self.arena = np.zeros(0, np.uint32)
 
     def _codes(self, pieces: list[str]) -> list[list[int]]:
@@ -86,9 +87,9 @@ class PieceEncoder:
         for k in range(self.known - len(new), self.known):
             self.pieces[k] = ""
         coded = self._codes(new)
-        lens = np.fromiter(map(len, coded), np.int64, len(coded))
-        ids = np.fromiter((i for x in coded for i in x), np.uint32, int(lens.sum()))
-        self.starts = np.concatenate([self.starts, len(self.arena) + np.cumsum(lens) - lens])
+        lens = np.fromiter(map(len, coded), np.int32, len(coded))
+        ids = np.fromiter(chain.from_iterable(coded), np.uint32, int(lens.sum()))
+        self.starts = np.concatenate([self.starts, (len(self.arena) + np.cumsum(lens) - lens).astype(np.int32)])
         self.lens = np.concatenate([self.lens, lens])
         self.arena = np.concatenate([self.arena, ids])
         self.key_bytes += sum(map(len, new))
@@ -119,15 +120,16 @@ class PieceEncoder:
         coded = lists.flatten().dictionary_encode()
         table = coded.dictionary.to_pylist()
         codes = coded.indices.to_numpy()
-        row = np.fromiter(map(self.index.__getitem__, table), np.int64, len(table))[codes] if len(codes) else np.zeros(0, np.int64)
+        row = np.fromiter(map(self.index.__getitem__, table), np.int32, len(table))[codes] if len(codes) else np.zeros(0, np.int32)
         if self.spaced and len(codes):
             row[at[:-1]] = [self.first[table[c]] for c in codes[at[:-1]].tolist()]
         self._learn()
         lens = self.lens[row]
-        ends = np.cumsum(lens)
+        ends = np.cumsum(lens, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        step = np.repeat(self.starts[row] - (ends - lens), lens)
-        step += np.arange(total)
+        place = np.int32 if total < 1 << 31 else np.int64
+        step = np.repeat((self.starts[row] - (ends - lens)).astype(place), lens)
+        step += np.arange(total, dtype=place)
         ids = self.arena[step]
         offsets = np.concatenate([[0], ends])[at]
         if odd.any():

@@ -89,9 +89,9 @@ class WaveletMatrix:
             padded[: len(packed)] = packed
             ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, step // 8).sum(1)
             samples = np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32)
-            low = a[~bit]
+            low = np.compress(~bit, a)
             zeros[level] = len(low)
-            a = np.concatenate([low, a[bit]])
+            a = np.concatenate([low, np.compress(bit, a)])
             blobs += [pack(packed.tobytes()), pack(samples.tobytes())]
         blobs = [pack(nulls.tobytes() + values.tobytes()), pack(np.asarray(lengths, np.int64).tobytes()), pack(zeros.tobytes()), *blobs]
         return MAGIC + struct.pack("<BQQ", levels, n, len(doc_ids)) + b"".join(struct.pack("<Q", len(b)) + b for b in blobs)
@@ -162,8 +162,8 @@ class WaveletMatrix:
         for level in reversed(range(self.levels)):
             bit = np.unpackbits(self._plane(level), count=self.n, bitorder="little").view(bool)
             z, up = int(self.zeros[level]), np.empty_like(out)
-            up[~bit] = out[:z]
-            up[bit] = out[z:] | out.dtype.type(1 << (self.levels - 1 - level))
+            up[np.flatnonzero(~bit)] = out[:z]
+            up[np.flatnonzero(bit)] = out[z:] | out.dtype.type(1 << (self.levels - 1 - level))
             out = up
         return out
 
