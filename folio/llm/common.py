@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -56,6 +59,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a Python worker keeps from task to task, by module: tables that only their own operator's tasks need.
+worker_caches: list[dict] = []
+
+
+def free_worker() -> None:
+    """Drop what tasks of other operators left in this Python worker, and give the memory back."""
+    if any(worker_caches):
+        for cache in worker_caches:
+            cache.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id's decimal text modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(n)

@@ -100,6 +100,7 @@ def _local(budget: int):
     """Rows of documents -> an entry for each distinct text among some tens of MB, with its owner's whole row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.free_worker()
         part, seq, held, rows, size, trie = TaskContext.get().partitionId(), 0, [], 0, 0, PatriciaTrie()
 
         def flush():

@@ -92,6 +92,7 @@ def _unpack(raw: bytes, dtypes: list) -> list[np.ndarray]:
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> set sizes and least shingles; at the end, the tokens that occur more than once in the task."""
+    common.free_worker()
     part, seq, fresh, held, repeated = TaskContext.get().partitionId(), 0, [], 0, []
 
     def count():
@@ -180,6 +181,7 @@ def _group(frequent: np.ndarray, places: np.ndarray, buckets: int, percent: int,
     names = [f.split(" ")[0] for f in GROUPED.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.free_worker()
         ids, last = (TaskContext.get().partitionId() << 32), None
         classes: dict[bytes, tuple[int, int]] = {}  # of the current key: digest -> class, group
         leaders: list[list] = []  # of the current key: [group, set]
@@ -276,6 +278,7 @@ def _by_bucket(work, columns: int):
     """Rows (bucket, cells) sorted by bucket -> what work makes of each bucket's cells."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.free_worker()
         bucket, cells = None, []
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -403,6 +406,7 @@ def _verify(percent: int):
     """(a, b, text_a, text_b) -> the pairs that link."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.free_worker()
         for batch in common.byte_slices(batches, "text_a", 2_000_000):
             left, right = (batch.column(k).dictionary_encode() for k in (2, 3))
             sets = [shingle_sets(c.dictionary) for c in (left, right)]
@@ -441,6 +445,7 @@ def _compare(percent: int, at_once: int = 128):
     Edges that add nothing to those of the block are left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.free_worker()
         last, members, queries, parent, edges = None, [], [], {}, []
 
         def find(x: int) -> int:

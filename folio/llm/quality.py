@@ -104,6 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(some, "doc_id")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.free_worker()
         for batch in common.byte_slices(batches, "text", 2_000_000):
             x = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
@@ -117,6 +118,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The model's score of each row of docs (doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.free_worker()
         for batch in common.byte_slices(batches, "text", 2_000_000):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(features(batch.column(1))))], ["doc_id", "score"])
 
@@ -128,6 +130,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows that score below 0.5; all columns as they were."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.free_worker()
         for batch in common.byte_slices(batches, "text", 2_000_000):
             texts = pc.fill_null(batch.column(batch.schema.get_field_index("text")), "")
             yield batch.filter(pa.array(model.scores(features(texts)) >= 0.5))

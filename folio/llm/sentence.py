@@ -172,6 +172,7 @@ def crossings(matrices: list[Matrix], size: int) -> list[State]:
 
 
 _lattices: dict[str, Lattice] = {}
+common.worker_caches.append(_lattices)
 
 
 def _lattice(path: str) -> Lattice:

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from folio.llm import common
+
 #: White space other than single inner blanks and newlines.
 IRREGULAR = "[\\x00\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
 #: A run of signs between a letter and white space or the end: a token boundary for both pre-tokenizers. The
@@ -146,6 +148,7 @@ class PieceEncoder:
 
 
 _encoders: dict[tuple[str, bool], PieceEncoder] = {}
+common.worker_caches.append(_encoders)
 
 
 def encoder(path: str, spaced: bool, kind: type[PieceEncoder] = PieceEncoder) -> PieceEncoder:
