@@ -228,7 +228,7 @@ def _score(tokens: int, types: int, mu: float):
     return run
 
 
-def lm_scores(docs: DataFrame, held_out, mu: float = MU, block_bytes: int = 12_000_000, buckets: int = 2048) -> DataFrame:
+def lm_scores(docs: DataFrame, held_out, mu: float = MU, block_bytes: int = 8_000_000, buckets: int = 2048) -> DataFrame:
     """Score docs (doc_id, text) with a model of those where the Column held_out is false."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     blocks = common.materialize(rows.mapInArrow(_blocks(block_bytes), BLOCK), "blocks")

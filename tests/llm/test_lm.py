@@ -16,7 +16,7 @@ def rows():
     return out + [(500, None, False, 1), (501, "", True, 1), (502, " \n", False, 1), (None, "the cat", False, 1), (7, "the cat", True, 1), (503, "new words " * 4000, True, 1)]
 
 
-@pytest.mark.parametrize("block_bytes,buckets", [(12_000_000, 2048), (200, 3)])
+@pytest.mark.parametrize("block_bytes,buckets", [(8_000_000, 2048), (200, 3)])
 def test_scores(spark, block_bytes, buckets):
     data = rows()
     frame = spark.createDataFrame(data, SCHEMA).repartition(3)
