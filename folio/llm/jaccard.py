@@ -163,7 +163,9 @@ def can_link(shared, nq, last, low, high, last_low, last_high, percent: int):
 
     Sets of low..high tokens whose last prefix tokens lie at last_low..last_high in the order. What two sets have
     in common lies in both prefixes up to the earlier of their last prefix tokens, or beyond the prefix of the one
-    whose last prefix token that is. Works on numbers, arrays and Columns alike; the first gives numpy functions."""
+    whose last prefix token that is. In the latter case a set of n tokens has ceil(n) beyond, which grows by less
+    than the bound where the rounding stands still, so that the best size is the largest or the one before it.
+    Works on numbers, arrays and Columns alike; the first gives numpy functions."""
     np_like = not hasattr(nq, "isNull")
     ceil = (lambda x: -(-x * percent // 100)) if np_like else (lambda x: F.ceil(x * percent / 100))
     floor = (lambda x: x * 100 // percent) if np_like else (lambda x: F.floor(x * 100 / percent))
@@ -171,7 +173,8 @@ def can_link(shared, nq, last, low, high, last_low, last_high, percent: int):
     low, high = most(low, ceil(nq)), least(high, floor(nq))
     reach = lambda beyond, other: (shared + beyond - 1) * (100 + percent) >= percent * (nq + other)
     mine = (last <= last_high) & reach(ceil(nq), low)
-    theirs = (last > last_low) & reach(ceil(high), high)
+    under = most(low, high - 1)
+    theirs = (last > last_low) & (reach(ceil(high), high) | reach(ceil(under), under))
     return (low <= high) & (mine | theirs)
 
 

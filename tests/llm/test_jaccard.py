@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from folio.llm import jaccard, words
 from folio.llm.components import components
@@ -90,3 +91,28 @@ def test_components(spark):
 
 def test_empty_table(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_links_with_the_smaller_of_sizes_31_and_32(spark):
+    """24 of 25 and 24 of 31 shingles are a link, also where the set of 31 has one of 32 beside it."""
+    data = []
+    for k in range(20):
+        rng = random.Random(k)
+        some = lambda m: [f"w{rng.randrange(10**6)}" for _ in range(m)]  # noqa: E731, B023
+        passage = some(28)
+        b = passage + some(7)
+        texts = [passage + some(1), b, b + some(1), *(some(60) + passage for _ in range(6))]
+        data += [(100 * k + j, " ".join(t), 1, 1) for j, t in enumerate(texts)]
+    got = jaccard.jaccard_components(spark.createDataFrame(data, SCHEMA).repartition(1), frequent_from=3).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(data)
+
+
+def test_can_link_loses_no_size(spark):
+    """The bound for sizes low..high holds wherever it holds for one of the sizes, in both forms."""
+    assert jaccard.can_link(1, 25, 10, 31, 32, 5, 5, 75)
+    cases = [(s, nq, 10, low, high, 5, 5) for s in (1, 2, 4) for nq in (9, 24, 25, 40) for low in range(6, 50, 3) for high in range(low, low + 6)]
+    want = [any(bool(jaccard.can_link(s, nq, a, n, n, b, c, 75)) for n in range(low, high + 1)) for s, nq, a, low, high, b, c in cases]
+    assert [bool(jaccard.can_link(*case, 75)) for case in cases] == want
+    names = ("shared", "nq", "last", "low", "high", "last_low", "last_high")
+    columns = spark.createDataFrame(cases, ", ".join(f"{n} long" for n in names)).select(*names, jaccard.can_link(*(F.col(n) for n in names), 75).alias("ok"))
+    assert {tuple(r)[:7]: r["ok"] for r in columns.collect()} == dict(zip(cases, want))
