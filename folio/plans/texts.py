@@ -120,7 +120,7 @@ SELECT item_id, regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)
 """)
 def escapes(spark, d):
     text = F.col("text")
-    return load(spark, d, "benchmark").select("item_id", tx.metadata_value(text).alias("escaped"), tx.concat_line(F.substring(text, 1, 30)).alias("line"), tx.is_safe_name(text).alias("safe"))
+    return load(spark, d, "benchmark").select("item_id", tx.metadata_value(text).alias("escaped"), tx.concat_line(text).alias("line"), tx.is_safe_name(text).alias("safe"))
 
 
 @query("""
@@ -184,4 +184,4 @@ _NUL = r"'\x00'::BLOB"
 @query(f"SELECT doc_id, substr(sha256({' || '.join(f'encode({p}) || {_NUL}' for p in ('substr(text, 1, 50)', 'lang', 'source', chr(39) + 'r' + chr(39), chr(39) + 'm' + chr(39), chr(39) + '{"speed": 1.0}' + chr(39)))}), 1, 12) AS key FROM documents")
 def audition_keys(spark, d):
     settings = F.create_map(F.lit("speed"), F.lit(1.0))
-    return load(spark, d, "documents").select("doc_id", identity.audition_key(F.substring("text", 1, 50), F.col("lang"), F.col("source"), F.lit("r"), F.lit("m"), settings).alias("key"))
+    return load(spark, d, "documents").select("doc_id", identity.audition_key(F.col("text"), F.col("lang"), F.col("source"), F.lit("r"), F.lit("m"), settings).alias("key"))

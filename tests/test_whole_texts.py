@@ -1,5 +1,6 @@
 """Registered queries on whole texts, against brute force: what their SQL cuts off must not be lost."""
 
+import hashlib
 import random
 import re
 
@@ -29,3 +30,16 @@ def test_wer_of_whole_turns(spark, tmp_path):
     words = [re.findall(r"\w+", t.lower()) for t in texts]
     want = {(1, k): round(levenshtein(a, b) / len(a), 4) if a else float(bool(b)) for k, (a, b) in enumerate(zip(words, words[1:]), 1)}
     assert {r[:2]: r[2] for r in got} == want and len(got) == len(want)
+
+
+def test_audition_keys_of_whole_texts(spark, tmp_path):
+    texts = ["a" * 50, "a" * 50 + "b", "a" * 50 + "ł\n" * 3000, "", "short"]
+    got = run(spark, tmp_path, "audition_keys", "documents", "doc_id long, text string, lang string, source string", [(k, t, "pl", "web") for k, t in enumerate(texts)])
+    parts = lambda t: (t, "pl", "web", "r", "m", '{"speed": 1.0}')
+    assert dict(got) == {k: hashlib.sha256(b"".join(p.encode() + b"\0" for p in parts(t))).hexdigest()[:12] for k, t in enumerate(texts)}
+
+
+def test_escapes_of_whole_texts(spark, tmp_path):
+    texts = ["it's " * 40, "a" * 30 + "'", "plain", ""]
+    got = run(spark, tmp_path, "escapes", "benchmark", "item_id long, text string", list(enumerate(texts)))
+    assert {r[0]: r[2] for r in got} == {k: "file '" + t.replace("'", "'\\''") + "'" for k, t in enumerate(texts)}
