@@ -10,11 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIGEST_CHARS, KEY_CHARS, RENDERER_VERSION = 32, 12, 1
+#: Control characters whose escapes have letters, which Spark writes large and the digests have small.
+_LETTERED = ("0b", "0e", "0f", "1a", "1b", "1c", "1d", "1e", "1f")
 
 
 def json_string(c: Column) -> Column:
     """A JSON string with only what must be escaped escaped; letters beyond ASCII stay."""
     quoted = F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("v")))
+    lower = quoted
+    for code in _LETTERED:  # but not what follows an escaped backslash
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u00{code.upper()}", rf"$1\\u00{code}")
+    quoted = F.when(c.rlike(r"[\x0b\x0e\x0f\x1a-\x1f]"), lower).otherwise(quoted)
     return F.substring(quoted, F.lit(6), F.length(quoted) - 6)
 
 

@@ -163,9 +163,8 @@ SELECT doc_id, substr(sha256('{"language":' || to_json(lang) || ',"model":"m@r1"
 """.replace("\\\\", "\\"))
 def fingerprints(spark, d):
     settings = F.create_map(F.lit("temperature"), F.lit(0.7), F.lit("speed"), F.lit(1.0))
-    text = F.regexp_replace("text", r"[^ -~\n]", "")
     model = identity.model_identity(F.lit("m"), F.lit("r1"))
-    return load(spark, d, "documents").select("doc_id", identity.fragment_fingerprint(text, F.col("lang"), model, F.col("source"), F.lit(""), settings).alias("fingerprint"))
+    return load(spark, d, "documents").select("doc_id", identity.fragment_fingerprint(F.col("text"), F.col("lang"), model, F.col("source"), F.lit(""), settings).alias("fingerprint"))
 
 
 @query("""

@@ -1,6 +1,7 @@
 """Registered queries on whole texts, against brute force: what their SQL cuts off must not be lost."""
 
 import hashlib
+import json
 import random
 import re
 
@@ -43,3 +44,11 @@ def test_escapes_of_whole_texts(spark, tmp_path):
     texts = ["it's " * 40, "a" * 30 + "'", "plain", ""]
     got = run(spark, tmp_path, "escapes", "benchmark", "item_id long, text string", list(enumerate(texts)))
     assert {r[0]: r[2] for r in got} == {k: "file '" + t.replace("'", "'\\''") + "'" for k, t in enumerate(texts)}
+
+
+def test_fingerprints_of_whole_texts(spark, tmp_path):
+    texts = ["zażółć", "zazolc", "za", "a\tb\r\n", "ab\n", "汉字 𝄞", "", 'a"b\\c/</\x00\x01\x08\x0c\x1f\x7f\x85\u2028', "".join(map(chr, range(32))), '\\u001F\\\x1f\\\\\x0b"\x1b\x1b']
+    got = run(spark, tmp_path, "fingerprints", "documents", "doc_id long, text string, lang string, source string", [(k, t, "pl", "web") for k, t in enumerate(texts)])
+    fields = {"language": "pl", "model": "m@r1", "renderer": 1, "settings": {"speed": 1.0, "temperature": 0.7}, "voice": "web", "voice_revision": ""}
+    wanted = lambda t: hashlib.sha256(json.dumps(fields | {"text": t}, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()[:32]
+    assert dict(got) == {k: wanted(t) for k, t in enumerate(texts)}
