@@ -202,7 +202,7 @@ SELECT doc_id AS id, replace(replace(regexp_replace(replace(text, '%', ' percent
 FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z%\n ]', '', 'g') AS text FROM documents) 
 """)
 def symbol_rewrite(spark, d):
-    rows = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("en").alias("language"), F.regexp_replace("text", r"[^A-Za-z%\n ]", "").alias("text"))
+    rows = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("en").alias("language"), "text")
     return speech.prepare(rows).select("id", F.col("text").alias("spoken"), F.size("substitutions").cast("long").alias("changes"))
 
 
@@ -219,7 +219,7 @@ _CHANGES = ",".join(
 
 @query(f"SELECT item_id AS id, 'Doctor Who met Missus Lea, for example ' || t AS text, 'Dr. Who met Mrs. Lee, e.g. ' || t AS source_text, '[{_CHANGES}]' AS substitutions FROM (SELECT item_id, regexp_replace(text, '[.%&]', '', 'g') AS t FROM benchmark)")
 def abbreviation_rewrite(spark, d):
-    rows = load(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("en").alias("language"), F.concat(F.lit("Dr. Who met Mrs. Lee, e.g. "), F.regexp_replace("text", "[.%&]", "")).alias("text"))
+    rows = load(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("en").alias("language"), F.concat(F.lit("Dr. Who met Mrs. Lee, e.g. "), F.col("text")).alias("text"))
     return speech.prepare(rows, {"Lee": "Lea"}).select("id", "text", "source_text", F.to_json("substitutions").alias("substitutions"))
 
 

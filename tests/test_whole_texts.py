@@ -52,3 +52,27 @@ def test_fingerprints_of_whole_texts(spark, tmp_path):
     fields = {"language": "pl", "model": "m@r1", "renderer": 1, "settings": {"speed": 1.0, "temperature": 0.7}, "voice": "web", "voice_revision": ""}
     wanted = lambda t: hashlib.sha256(json.dumps(fields | {"text": t}, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()[:32]
     assert dict(got) == {k: wanted(t) for k, t in enumerate(texts)}
+
+
+SPOKEN = [
+    ("5% & §7 at 3°C", "5 percent and section7 at 3 degrees Celsius", 4),
+    ("Dr. Żak, etc. vs. Mr. X", "Doctor Żak, et cetera versus Mister X", 4),
+    ("approx. 12.5 % of a.b.c. e.g. i.e. nothing", "approximately 12.5 percent of a.b.c. for example that is nothing", 4),
+    ("汉字 1999, no sign", "汉字 1999, no sign", 0),
+    ("", "", 0),
+]
+
+
+def test_symbol_rewrite_of_whole_texts(spark, tmp_path):
+    got = run(spark, tmp_path, "symbol_rewrite", "documents", "doc_id long, text string", [(k, t) for k, (t, _, _) in enumerate(SPOKEN)])
+    assert sorted(got) == [(k, spoken, n) for k, (_, spoken, n) in enumerate(SPOKEN)]
+
+
+def test_abbreviation_rewrite_of_whole_texts(spark, tmp_path):
+    got = run(spark, tmp_path, "abbreviation_rewrite", "benchmark", "item_id long, text string", [(k, t) for k, (t, _, _) in enumerate(SPOKEN)])
+    head, said = "Dr. Who met Mrs. Lee, e.g. ", "Doctor Who met Missus Lea, for example "
+    assert sorted(r[:3] for r in got) == [(k, said + spoken, head + t) for k, (t, spoken, _) in enumerate(SPOKEN)]
+    for (_, spoken, n), (_, text, source, changes) in zip(SPOKEN, sorted(got)):
+        changes = json.loads(changes)
+        assert len(changes) == 4 + n
+        assert all(source[c["start"] : c["end"]] == c["source"] and text[c["spoken_start"] : c["spoken_end"]] == c["spoken"] for c in changes)
