@@ -76,7 +76,7 @@ SELECT doc_id, {_FOLD.format("words", "60")} AS chunks FROM s
 """)
 def greedy_pack(spark, d):
     words = tx.words(F.col("text"))
-    rows = load(spark, d, "documents").select("doc_id", words.alias("words")).filter((F.size("words") > 0) & ~F.exists("words", lambda x: F.length(x) > 60))
+    rows = load(spark, d, "documents").select("doc_id", words.alias("words")).filter(F.size("words") > 0)
     return rows.select("doc_id", chunking.pack(F.col("words"), F.lit(60), 0).alias("chunks"))
 
 

@@ -76,3 +76,12 @@ def test_abbreviation_rewrite_of_whole_texts(spark, tmp_path):
         changes = json.loads(changes)
         assert len(changes) == 4 + n
         assert all(source[c["start"] : c["end"]] == c["source"] and text[c["spoken_start"] : c["spoken_end"]] == c["spoken"] for c in changes)
+
+
+def test_greedy_pack_keeps_long_words(spark, tmp_path):
+    texts = ["see https://example.org/" + "x" * 200 + " for more", "a" * 61, "a" * 60 + " b", "汉" * 150, "one,two;" * 20 + " end", " \n"]
+    got = dict(run(spark, tmp_path, "greedy_pack", "documents", "doc_id long, text string", list(enumerate(texts))))
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    for k, chunks in got.items():
+        assert max(map(len, chunks)) <= 60 and "".join(chunks).replace(" ", "") == "".join(texts[k].split())
+    assert got[1] == ["a" * 60, "a"] and got[3] == ["汉" * 60, "汉" * 60, "汉" * 30]
