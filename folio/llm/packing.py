@@ -30,9 +30,9 @@ PIECE_SCHEMA = "part int, doc_id long, piece int, start long, length int, rank l
 BROADCAST_ROWS = 400_000
 
 
-def _cut(path: str, end_id: int, capacity: int, read_bytes: int):
+def _cut(path: str, end_id: int, capacity: int, read_bytes: int, literal: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc = TaskContext.get().partitionId(), encoder(path, True)
+        part, enc = TaskContext.get().partitionId(), encoder(path, True, literal=literal)
         seen = np.zeros(capacity + 1, np.int64)  # pieces of each length so far
         for batch in common.byte_slices(batches, "text", read_bytes):
             got, at = enc.encode(batch.column(1))
@@ -65,10 +65,12 @@ def _cut(path: str, end_id: int, capacity: int, read_bytes: int):
     return run
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, read_bytes: int = 8_000_000) -> DataFrame:
-    """Encoded pieces of docs (doc_id, text), written to the shared folder so that ranks stay as they were counted."""
+def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, read_bytes: int = 8_000_000, literal: bool = False) -> DataFrame:
+    """Encoded pieces of docs (doc_id, text), written to the shared folder so that ranks stay as they were counted.
+
+    `literal`: strings of added tokens in a text are ordinary text and not that token."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return common.materialize(rows.mapInArrow(_cut(vocabulary, end_id, capacity, read_bytes), PIECE_SCHEMA), "pieces")
+    return common.materialize(rows.mapInArrow(_cut(vocabulary, end_id, capacity, read_bytes, literal), PIECE_SCHEMA), "pieces")
 
 
 def fullest(target: int, counts: np.ndarray, longest: int) -> list[tuple[int, int]]:

@@ -38,6 +38,23 @@ State = tuple[int, int]
 START: State = (-1, 0)
 
 
+def read_model(path: str):
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model
+
+
+def scannable(model) -> bool:
+    """Whether the model is of the kind that pieces and the scan rely on: BPE over bytes, blanks kept and marked, a
+    blank before the text, characters unchanged, and no symbols that a user defined."""
+    norm, trained = model.normalizer_spec, model.trainer_spec
+    kept = not norm.precompiled_charsmap and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces
+    return kept and trained.model_type == trained.BPE and trained.byte_fallback and not trained.treat_whitespace_as_suffix and all(p.type in (1, 2, 3, 6) for p in model.pieces)
+
+
 class SentenceEncoder(PieceEncoder):
     """The piece table over a SentencePiece model: pieces between single blanks are independent of one another."""
 
@@ -45,9 +62,10 @@ class SentenceEncoder(PieceEncoder):
         import sentencepiece
 
         self.tokenizer = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.cuts = scannable(read_model(path))
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
-        odd = pc.match_substring_regex(texts, r"\A | \z|  |" + BLANK).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, r"\A | \z|  |" + BLANK).to_numpy(zero_copy_only=False) | (not self.cuts)
         return odd, pc.split_pattern(texts.filter(pa.array(~odd)), " ")
 
     def _codes(self, pieces: list[str]) -> list[list[int]]:
@@ -62,11 +80,8 @@ class Lattice:
 
     def __init__(self, path: str, most: int = 1_000_000):
         import sentencepiece
-        from sentencepiece import sentencepiece_model_pb2
 
-        model = sentencepiece_model_pb2.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
+        model = read_model(path)
         model.normalizer_spec.add_dummy_prefix = False
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.ids = {p.piece: k for k, p in enumerate(model.pieces) if p.type == 1}

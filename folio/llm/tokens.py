@@ -3,11 +3,14 @@
 A pre-tokenizer that never joins characters across a change from non-space to space gives the same ids for a
 whole text as for its pieces one after another. Both public tokenizers are of that kind, so a worker keeps a
 bounded table piece -> ids and gathers whole texts from it with Arrow and numpy. Where pieces carry their
-leading space, texts with runs of white space or white space beyond blank and newline are encoded whole.
+leading space, texts with runs of white space or white space beyond blank and newline are encoded whole. So are
+texts that hold the string of an added token, for which the library's plain call gives that token's id, and all
+texts where the vocabulary file states another normaliser or pre-tokenizer than those that this relies on.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain
@@ -21,33 +24,68 @@ from folio.llm import common
 #: White space other than single inner blanks and newlines.
 IRREGULAR = "[\\x00\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z"
 #: A run of signs between a letter and white space or the end: a token boundary for both pre-tokenizers. The
-#: apostrophe is left out, as contractions begin with it.
-SIGNS = r"(\p{L})([!-&(-/:-@\[-`{-~]+)([ \n]|\z)"
+#: apostrophe is left out, as contractions begin with it, and letters beyond Latin-1, as some of them end in a mark,
+#: which joins the signs, once composed or in lower case.
+SIGNS = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~]+)([ \n]|\z)"
 #: Marks after which lower-casing a letter alone could change how they compose.
 MARKS = r"[\x{300}-\x{36f}]"
 #: Pieces that byte-level BPE cuts into a word and a run of signs, with no contraction in them.
 _PLAIN = re.compile(r"( ?)([A-Za-z]+)([^A-Za-z0-9\s']*)", re.ASCII)
 
 
+#: Normaliser and pre-tokenizer of the two kinds of files whose texts may be cut into pieces, by `spaced`.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_RELIED_ON = {
+    True: (None, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}),
+    False: (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]},
+    ),
+}
+
+
 class _Index(dict):
-    """piece -> row of the table; unknown pieces get the next row and wait in `new`."""
+    """piece -> row of the table; unknown pieces get the next row and wait in `new` as the library shall see them."""
 
-    def __init__(self, new: list[str], lead: str):
+    def __init__(self, new: list[str]):
         super().__init__()
-        self.new, self.lead = new, lead
+        self.new = new
 
     def __missing__(self, piece: str) -> int:
         self[piece] = row = len(self.new)
-        self.new.append(piece[1:] if piece[:1] == "\0" else piece if piece[:1] == "\n" else self.lead + piece)
+        self.new.append(self.seen(piece))
         return row
 
+    def seen(self, piece: str) -> str:
+        return piece
+
+
+class _LedIndex(_Index):
+    """Pieces that follow a blank, which the split has taken. Signs cut off the letter before them stand behind
+    U+0000: texts that hold one themselves are encoded whole, so no piece begins with it otherwise."""
+
+    def seen(self, piece: str) -> str:
+        return piece[1:] if piece[:1] == "\0" else piece if piece[:1] == "\n" else " " + piece
+
+
+def _untrimmed(spec):
+    """A part of a vocabulary file without the settings that only move offsets."""
+    if isinstance(spec, dict):
+        return {k: _untrimmed(v) for k, v in spec.items() if k != "trim_offsets"}
+    return [_untrimmed(x) for x in spec] if isinstance(spec, list) else spec
+
 
 class PieceEncoder:
-    """encode(texts) -> (ids, offsets). `spaced`: pieces keep their leading white space (byte-level BPE)."""
+    """encode(texts) -> (ids, offsets). `spaced`: pieces keep their leading white space (byte-level BPE).
 
-    def __init__(self, path: str, spaced: bool, max_pieces: int = 1_000_000, max_piece_bytes: int = 32_000_000):
+    `literal`: strings of added tokens in a text are ordinary text; otherwise they have the added token's id, as
+    the library gives it."""
+
+    def __init__(self, path: str, spaced: bool, literal: bool = False, max_pieces: int = 1_000_000, max_piece_bytes: int = 32_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.spaced, self.max_pieces, self.max_piece_bytes = spaced, max_pieces, max_piece_bytes
+        self.spaced, self.literal, self.max_pieces, self.max_piece_bytes = spaced, literal, max_pieces, max_piece_bytes
+        self.cuts = True  # whether texts may be cut into pieces
+        self.added = ""  # pattern of texts that hold an added token
         self._load(path)
         self._reset()
 
@@ -55,13 +93,26 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = self.literal
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, added = file["model"], file.get("added_tokens") or []
+        stated = tuple(_untrimmed(file.get(k)) for k in ("normalizer", "pre_tokenizer"))
+        self.cuts = (
+            stated == _RELIED_ON[self.spaced]
+            and model.get("type") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix"))
+            and not any(file.get(k) for k in ("truncation", "padding"))
+            and not any(t.get("normalized") or self.literal and not t.get("special") for t in added)
+        )
+        if not self.literal:
+            self.added = "|".join(re.escape(t["content"]) for t in added)
 
     def _reset(self) -> None:
         self.pieces: list[str] = []  # by row; those from `known` on are not encoded yet
         self.known = self.key_bytes = 0
-        self.index = _Index(self.pieces, " " if self.spaced else "")
-        self.first = _Index(self.pieces, "")
+        self.index = _LedIndex(self.pieces) if self.spaced else _Index(self.pieces)
+        self.first = _Index(self.pieces)  # pieces that begin a text
         self.lens, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int32)  # the table is far below 2 GB
         self.arena = np.zeros(0, np.uint32)
 
@@ -98,10 +149,13 @@ class PieceEncoder:
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, pa.ListArray]:
         """Which texts must be encoded whole, and the pieces of the others."""
-        odd = np.zeros(len(texts), bool)
+        odd = np.full(len(texts), not self.cuts)
+        for pattern in filter(None, (self.added, IRREGULAR if self.spaced else "")):
+            odd = odd | pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False)
+        if odd.any():
+            texts = texts.filter(pa.array(~odd))
         if self.spaced:
-            odd = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
-            regular = pc.replace_substring_regex(texts.filter(pa.array(~odd)), SIGNS, "\\1 \0\\2\\3")
+            regular = pc.replace_substring_regex(texts, SIGNS, "\\1 \0\\2\\3")
             return odd, pc.split_pattern(pc.replace_substring(regular, "\n", " \n"), " ")
         texts = pc.replace_substring_regex(texts, SIGNS, r"\1 \2\3")
         if not pc.any(pc.match_substring_regex(texts, MARKS)).as_py():
@@ -147,12 +201,12 @@ class PieceEncoder:
         return ids, offsets
 
 
-_encoders: dict[tuple[str, bool], PieceEncoder] = {}
+_encoders: dict[tuple[str, bool, bool], PieceEncoder] = {}
 common.worker_caches.append(_encoders)
 
 
-def encoder(path: str, spaced: bool, kind: type[PieceEncoder] = PieceEncoder) -> PieceEncoder:
+def encoder(path: str, spaced: bool, kind: type[PieceEncoder] = PieceEncoder, literal: bool = False) -> PieceEncoder:
     """One encoder for each worker process and vocabulary."""
-    if (path, spaced) not in _encoders:
-        _encoders[path, spaced] = kind(path, spaced)
-    return _encoders[path, spaced]
+    if (path, spaced, literal) not in _encoders:
+        _encoders[path, spaced, literal] = kind(path, spaced, literal)
+    return _encoders[path, spaced, literal]

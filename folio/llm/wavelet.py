@@ -168,12 +168,12 @@ class WaveletMatrix:
         return out
 
 
-def _build(path: str, end_id: int, shard_tokens: int, read_bytes: int):
+def _build(path: str, end_id: int, shard_tokens: int, read_bytes: int, literal: bool):
     """Rows (doc_id, text) in order -> shard rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, before = TaskContext.get().partitionId(), 0, 0
-        enc, ids, docs, lengths, held = encoder(path, False), [], [], [], 0
+        enc, ids, docs, lengths, held = encoder(path, False, literal=literal), [], [], [], 0
 
         def flush():
             nonlocal shard, before, ids, docs, lengths, held
@@ -208,14 +208,16 @@ def _build(path: str, end_id: int, shard_tokens: int, read_bytes: int):
     return run
 
 
-def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, shard_tokens: int = 1 << 20, read_bytes: int = 8_000_000) -> None:
-    """Encode docs (doc_id, text) and write shard images, ascending by doc_id over all shards, to `path`."""
+def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, shard_tokens: int = 1 << 20, read_bytes: int = 8_000_000, literal: bool = False) -> None:
+    """Encode docs (doc_id, text) and write shard images, ascending by doc_id over all shards, to `path`.
+
+    `literal`: strings of added tokens in a text are ordinary text and not that token."""
     text = F.coalesce(F.col("text"), F.lit(""))
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
         .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-        .mapInArrow(_build(vocabulary, end_id, shard_tokens, read_bytes), SHARD_SCHEMA)
+        .mapInArrow(_build(vocabulary, end_id, shard_tokens, read_bytes, literal), SHARD_SCHEMA)
         .write.option("compression", "uncompressed")
         .parquet(path)
     )

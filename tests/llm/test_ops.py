@@ -32,7 +32,6 @@ def crc(ids):
 
 def encode(name, docs):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([text for _, text in docs], add_special_tokens=False)]
 
 

@@ -52,7 +52,7 @@ def test_combination_is_associative():
 
 
 def test_encode_and_decode(spark, library):
-    rows = [(1, "plain text  here", 0, 0), (2, None, 0, 0), (3, "", 0, 0), (4, " lead and trail ", 0, 0), (5, "a\n\nb\té 中▁x", 0, 0), (6, "long wordsandruns " * 400 + "z" * 300, 0, 0), (6, "twice", 0, 0), (None, "no id", 0, 0)]
+    rows = [(1, "plain text  here", 0, 0), (2, None, 0, 0), (3, "", 0, 0), (4, " lead and trail ", 0, 0), (5, "a\n\nb\té 中▁x", 0, 0), (6, "long wordsandruns " * 400 + "z" * 300, 0, 0), (6, "twice", 0, 0), (None, "no id", 0, 0), (7, "\0abc def\0 \0", 0, 0), (8, "\0 x" * 200, 0, 0)]
     for giant in (100, 1 << 16):
         got = sentence.decode(sentence.encode(spark.createDataFrame(rows, SCHEMA), MODEL, giant=giant, chunk=64), MODEL).collect()
         assert sorted(((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in got), key=repr) == sorted(((d, library.encode(t or "")) for d, t, *_ in rows), key=repr)

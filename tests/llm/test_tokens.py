@@ -1,11 +1,15 @@
+import json
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from folio.llm import packing, wavelet
+from folio.llm.tokens import PieceEncoder
 
 DOCS = [
     (3, "a b  c\n\n d é ́ it's 'S", 9),
@@ -16,6 +20,7 @@ DOCS = [
     (None, "no id", 2),
     (5, "same text", 2),
     (6, "same text", 2),
+    (8, "\0abc def \0", 2),
 ]
 
 
@@ -25,7 +30,6 @@ def frame(spark, rows=DOCS):
 
 def ids_of(name, text):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -33,6 +37,35 @@ def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
 
+#: What texts of the library comparison are made of: U+0000, control strings, signs, marks, letters that change when composed.
+BITS = ["\0", "a", "ab", "The", "it's", " ", "  ", "\n", "\t", "!", "..", "é", "e\u0301", "\u0301", "中", "▁", "<|endoftext|>", "<|startoftext|>", "</s>", "1", "23", "=", "\u0338", "'S", "\x1f", "\x85", "Ǆ", "İ", "ſt", "\ufb2a", "\u0958", "\u212a", "ß"]
+
+
+@pytest.mark.parametrize("name,spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+@pytest.mark.parametrize("literal", [False, True])
+def test_ids_are_the_librarys(name, spaced, literal):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(BITS, k=rng.randrange(9))) for _ in range(8000)] + ["\0abc def", "\0", "a \0b", "say <|endoftext|> now"]
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    library.encode_special_tokens = literal
+    encoder = PieceEncoder(public_tokenizers.path(name), spaced, literal)
+    ids, at = encoder.encode(pa.array(texts))
+    assert encoder.cuts and [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    file["normalizer"] = {"type": "Replace", "pattern": {"String": "a b"}, "content": "c"}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(file, f)
+    texts = ["a b a b", "", "plain"]
+    encoder = PieceEncoder(path, True)
+    ids, at = encoder.encode(pa.array(texts))
+    assert not encoder.cuts and [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_wavelet_access_rank_select():
     rng = np.random.default_rng(3)
     for n, top in ((0, 1), (1, 1), (700, 2), (5000, 49407), (1300, 100_000)):
@@ -55,7 +88,7 @@ def test_shards_read_back(spark, tmp_path, shard_tokens):
     wavelet.write_shards(frame(spark), public_tokenizers.path("word_bpe_49k.json"), path, shard_tokens=shard_tokens)
     rows = wavelet.read_shards(spark, path).collect()
     rows.sort(key=lambda r: r["start"])
-    assert [r["doc_id"] for r in rows] == [None, 1, 2, 3, 5, 6, 7, 7]
+    assert [r["doc_id"] for r in rows] == [None, 1, 2, 3, 5, 6, 7, 7, 8]
     start = 0
     want = {(d, tuple(ids_of("word_bpe_49k.json", t) + [1])) for d, t, _ in DOCS}
     got = set()
