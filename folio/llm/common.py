@@ -20,12 +20,14 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="folio-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -82,6 +84,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain_names(docs: DataFrame) -> DataFrame:
+    """docs with its columns doc_id and text, and names that no operator uses for all others, whatever theirs are.
+
+    toDF(*docs.columns) gives them their names back."""
+    return docs.toDF(*(name if name in ("doc_id", "text") else f"extra_{k}" for k, name in enumerate(docs.columns)))
+
+
 def byte_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of the batches with about `limit` bytes of the binary or string column each (one row at least)."""
     import numpy as np

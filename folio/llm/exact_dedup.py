@@ -9,7 +9,7 @@ all subtrees but the current one are complete: they are sent on and freed.
 
 Defined results: null text counts as empty; empty texts form one group; rows are counted as they are, so of
 identical rows exactly one is kept; a null doc_id is larger than any other; an empty table gives no rows;
-extra columns may have any names.
+extra columns may have any names, dots and names used in here included.
 """
 
 from __future__ import annotations
@@ -137,7 +137,7 @@ def _local(budget: int):
                         v[0], v[1], v[2], v[7] = chars[k], doc_id, rows + k, len(v[3])
                     v[3].append(doc_id)
             held.append(batch)
-            rows, size = rows + batch.num_rows, size + text.nbytes
+            rows, size = rows + batch.num_rows, size + batch.nbytes
             if size + trie.size > budget:
                 yield from flush()
         if rows:
@@ -199,9 +199,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another row owns; all columns as they were."""
-    entries, owners = groups(docs)
+    entries, owners = groups(common.plain_names(docs))
     kept = owners.filter("owns").select("part", "seq")
-    return entries.join(kept, ["part", "seq"], "left_semi").select("row.*")
+    return entries.join(kept, ["part", "seq"], "left_semi").select("row.*").toDF(*docs.columns)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -589,6 +589,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each component, that of least doc_id; all columns as they were."""
-    found = jaccard_components(docs)
+    rows = common.plain_names(docs)
+    found = jaccard_components(rows)
     dropped = found.filter("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(dropped, "doc_id", "left_anti").select(*rows.columns).toDF(*docs.columns)
