@@ -9,10 +9,11 @@ import pytest
 import sentencepiece
 from test_chat import brute as chat_brute
 from test_jaccard import brute as near_brute
+from test_lm import brute_scores
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from folio.llm import lm, queries
+from folio.llm import queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,6 +97,6 @@ def test_op9(spark, docs):
 
 
 def test_op10(spark, docs):
-    want = lm.brute_scores([(d, t, zlib.crc32(str(d).encode()) % 7 == 2) for d, t in docs])
+    want = brute_scores([(d, t, zlib.crc32(str(d).encode()) % 7 == 2) for d, t in docs])
     for g, w in zip(sorted(map(tuple, run(spark, "op10_backoff_lm"))), sorted(want), strict=True):
         assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
