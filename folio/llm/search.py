@@ -1,10 +1,13 @@
 """Exact top-k search by pivot-table elimination (operator 4).
 
-Vectors are quantised to integers. Each candidate carries its distances to a fixed number of pivots; a query's
-distance to a candidate is at least the largest difference of their pivot distances, which bounds their inner
-product from above. In each cell of candidates a query evaluates the candidates of highest bound first, then
-all whose bound reaches its k-th score so far, until none is left: what is never evaluated cannot enter the
-top k. Queries go to every cell, in blocks; the cells' lists of k are merged.
+Vectors are quantised to integers. Each candidate carries its distances to a number of pivots, the origin among
+them. Distances to pivots fix where a vector lies in the pivots' span and how far from it, so two rows of the table
+give the largest lower bound of their distance that the pivots allow (it is never below the largest difference of
+two pivot distances), and with it an upper bound of their inner product. Candidates are dealt to partitions. A
+query visits each partition once, goes through its cells with its k best so far, and in each cell evaluates
+candidates in the order of their bounds until the next bound is below its k-th score: what is never evaluated cannot
+enter the top k. Every query begins with the k-th score that it has among the sample of which the pivots are
+chosen; their number is the one of least measured work within that sample. Both affect speed alone.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as query or
 candidate; an empty vector scores 0; vectors of different lengths are compared over the shorter one; rows with
@@ -46,137 +49,200 @@ def matrix(lists: pa.ListArray, dim: int) -> np.ndarray:
     return out
 
 
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact integer inner products of the rows of x with those of q, as int64."""
+    if not x.size or not q.size or max(np.abs(x).max(), np.abs(q).max()) <= EXACT:
+        return (x.astype(float) @ q.astype(float).T).astype(np.int64)
+    exact = x.astype(object) @ q.astype(object).T
+    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+
+
 def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
-    """Pivots far from one another: each the vector of the sample farthest from those before it."""
-    if not len(sample):
-        return sample[:0].astype(float)
-    x = sample.astype(float)
-    picked, far = [0], ((x - x[0]) ** 2).sum(1)
-    while len(picked) < min(count, len(x)) and far.max() > 0:
-        picked.append(int(far.argmax()))
-        far = np.minimum(far, ((x - x[picked[-1]]) ** 2).sum(1))
-    return x[picked]
+    """Pivots in independent directions: each the vector of the sample farthest from the span of those before it."""
+    rest, picked = sample.astype(float), []
+    far = (rest**2).sum(1)
+    tiny = 1e-9 * far.max() if len(far) else 0
+    while len(far) and len(picked) < count and far.max() > tiny:
+        at = int(far.argmax())
+        picked.append(at)
+        direction = rest[at] / np.linalg.norm(rest[at])
+        rest = rest - np.outer(rest @ direction, direction)
+        far = (rest**2).sum(1)
+    return sample[picked].astype(float)
 
 
 def pivot_table(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Distances from each vector to each pivot."""
+    """Distances from each vector to the origin and to each pivot."""
     x = vectors.astype(float)
-    sq = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T
-    return np.sqrt(np.maximum(sq, 0)).astype(np.float32)
+    sq = (x**2).sum(1)
+    far = sq[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T
+    return np.sqrt(np.maximum(np.concatenate([sq[:, None], far], 1), 0))
 
 
-def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of the rows of x with those of q, as int64."""
-    if not x.size or not q.size or max(np.abs(x).max(), np.abs(q).max()) <= EXACT:
-        return (x.astype(float) @ q.astype(float).T).astype(np.int64)
-    exact = x.astype(object) @ q.astype(object).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+class Frame:
+    """The pivots, and where their distances place a vector."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.sq = (pivots**2).sum(1)
+        # a vector's products with the pivots are L times its coordinates in an orthonormal frame of their span
+        self.solve = np.linalg.inv(np.linalg.cholesky(pivots @ pivots.T)).T if len(pivots) else np.zeros((0, 0))
+
+    def place(self, table: np.ndarray) -> np.ndarray:
+        """Rows of coordinates in the span, and last the distance from it, of rows of a pivot table."""
+        norm = table[:, :1] ** 2
+        inside = (norm + self.sq[None] - table[:, 1:] ** 2) / 2 @ self.solve
+        return np.concatenate([inside, np.sqrt(np.maximum(norm - (inside**2).sum(1, keepdims=True), 0))], 1)
+
+    def measured(self, vectors: np.ndarray) -> np.ndarray:
+        return self.place(pivot_table(vectors, self.pivots))
+
+
+def bounds(asked: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Upper bounds of the inner products of placed vectors: inside the span as they are, beyond it at most parallel."""
+    top = max(np.abs(asked).max(initial=0), np.abs(held).max(initial=0))
+    kind = np.float32 if top < 1e15 else np.float64
+    size = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(held, axis=1)[None]
+    out = asked.astype(kind) @ held.T.astype(kind)
+    out += (2e-5 * size + 0.5).astype(kind)  # rounding of the table and of these products
+    return out
+
+
+def fitting_frame(sample: np.ndarray, k: int, tried: int = 64) -> Frame:
+    """The frame whose number of pivots costs least, by the share of the sample's pairs it leaves to evaluate."""
+    dim = sample.shape[1]
+    pivots, queries = choose_pivots(sample, dim), sample[:: max(1, len(sample) // tried)][:tried]
+    best, least = Frame(pivots[:0]), np.inf
+    if len(sample) <= k:
+        return best
+    scores = products(sample, queries).T
+    floor = np.partition(scores, len(sample) - k - 1, axis=1)[:, len(sample) - k - 1]
+    for count in sorted({max(1, len(pivots) * part // 8) for part in range(1, 9)} if len(pivots) else ()):
+        frame = Frame(pivots[:count])
+        left = (bounds(frame.measured(queries), frame.measured(sample)) >= floor[:, None]).sum() / len(queries)
+        # a product of gathered rows costs some times that of a block
+        cost = len(sample) * count + 4.0 * left * dim
+        if cost < least:
+            best, least = frame, cost
+    return best
+
+
+class Queries:
+    """A block of queries with their k best so far, best first. A floor is a score that the k-th reaches."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, floors: np.ndarray, frame: Frame, k: int):
+        self.ids, self.x, self.floors, self.k = ids, vectors, floors.copy(), k
+        self.placed = frame.measured(vectors)
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
+
+    def add(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        keep = (scores >= self.floors[i]) & (ids != self.ids[i])
+        if not keep.any():
+            return
+        names, values = np.concatenate([self.found[i][0], ids[keep]]), np.concatenate([self.found[i][1], scores[keep]])
+        best = np.lexsort((names, -values))[: self.k]
+        self.found[i] = names[best], values[best]
+        if len(best) == self.k:
+            self.floors[i] = max(self.floors[i], values[best[-1]])
 
 
 class Cell:
-    """Candidates with their pivot table, searched by blocks of queries."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray):
-        self.ids, self.x, self.pivots = ids, vectors, pivots
-        self.table = np.ascontiguousarray(pivot_table(vectors, pivots).T)
-        self.sq = (vectors.astype(float) ** 2).sum(1)
-        self.evaluated = 0
-
-    def bounds(self, q: np.ndarray) -> np.ndarray:
-        """Upper bounds of the inner products, queries by candidates."""
-        low = np.zeros((len(q), len(self.ids)), np.float32)
-        one = np.empty_like(low)
-        for mine, theirs in zip(self.table, pivot_table(q, self.pivots).T):
-            np.subtract(theirs[:, None], mine[None], out=one)
-            np.abs(one, out=one)
-            np.maximum(low, one, out=low)
-        qq = (q.astype(float) ** 2).sum(1)[:, None]
-        total = qq + self.sq[None]
-        # the table is of single precision: allow for its rounding
-        return (total - np.maximum(low - 1e-5 * np.sqrt(total) - 1e-3, 0) ** 2) / 2 + 1e-6 * total + 0.5
-
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query (its id, candidates' ids, scores): the k best by score, then id."""
-        bound = self.bounds(q)
-        n, first = len(self.ids), min(len(self.ids), 4 * k + 32)
-        head = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-        floor = np.full(len(q), -(2.0**63))
-        done = np.zeros(bound.shape, bool)
-        scores = np.zeros(bound.shape, np.int64)
-        for i in range(len(q)):
-            at = head[i]
-            got = products(self.x[at], q[i : i + 1])[:, 0]
-            scores[i, at], done[i, at] = got, True
-            mine = got[self.ids[at] != query_ids[i]]
-            if len(mine) >= k:
-                floor[i] = np.partition(mine, len(mine) - k)[len(mine) - k]
-        open_ = (bound >= floor[:, None]) & ~done
-        self.evaluated += int(open_.sum()) + done[:, :].sum()
-        some = np.flatnonzero(open_.any(0))
-        if len(some):
-            if open_.sum() * 4 > len(some) * len(q):  # most of the block: one product
-                scores[:, some] = np.where(open_[:, some], products(self.x[some], q).T, scores[:, some])
-            else:
-                for i in np.flatnonzero(open_.any(1)):
-                    at = np.flatnonzero(open_[i])
-                    scores[i, at] = products(self.x[at], q[i : i + 1])[:, 0]
-            done |= open_
-        for i in range(len(q)):
-            at = np.flatnonzero(done[i] & (self.ids != query_ids[i]) & (scores[i] >= floor[i]))
-            best = at[np.lexsort((self.ids[at], -scores[i, at]))[:k]]
-            yield int(query_ids[i]), self.ids[best], scores[i, best]
-
-
-def _cells(pivots: np.ndarray, dim: int, k: int, block: int):
-    """Rows of a cell, candidates before queries -> each query's best in the cell."""
+    """Candidates with their pivot table."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, frame: Frame):
+        self.ids, self.x, self.placed = ids, vectors, frame.measured(vectors)
+
+    def search(self, queries: Queries, first: int = 64) -> int:
+        """Evaluate what can be among the queries' best, in the order of the bounds; the number of evaluations."""
+        bound, evaluated = bounds(queries.placed, self.placed), 0
+        for i in range(len(queries.ids)):
+            mine = bound[i]
+            open_ = np.flatnonzero(mine >= queries.floors[i])
+            order = open_[np.argsort(-mine[open_], kind="stable")]
+            at, size = 0, first
+            while at < len(order) and mine[order[at]] >= queries.floors[i]:
+                some = order[at : at + size]
+                queries.add(i, self.ids[some], products(self.x[some], queries.x[i : i + 1])[:, 0])
+                at, size = at + len(some), size * 2
+            evaluated += at
+        return evaluated
+
+
+def _floors(sample: np.ndarray, names: np.ndarray, dim: int, k: int):
+    """Queries with the k-th score that they have among the sample, which their k-th of all reaches."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, ids, vecs, searched, hits = None, [], [], None, []
-
-        def ask(qids: np.ndarray, q: np.ndarray):
-            nonlocal searched, ids, vecs
-            if searched is None and ids:
-                searched, ids, vecs = Cell(np.concatenate(ids), np.concatenate(vecs), pivots), [], []
-            if searched is None:
-                return
-            for a in range(0, len(qids), block):
-                for query, found, scores in searched.search(qids[a : a + block], q[a : a + block], k):
-                    hits.append((np.full(len(found), query, np.int64), found, scores))
+        for batch in batches:
+            ids, q = batch.column(0).to_numpy(), matrix(batch.column(1), dim)
+            floors = np.full(len(ids), -(2**63), np.int64)
+            if len(sample) > k and len(ids):
+                scores = products(sample, q).T
+                # the query itself may be in the sample: of any k + m scores, m of them its own, the k-th of the others
+                own = names[None] == ids[:, None]
+                scores = np.where(own, -(2**63), scores)
+                floors = np.partition(scores, len(sample) - k, axis=1)[:, len(sample) - k]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floors, pa.int64())], ["vec_id", "vec", "floor"])
+
+    return run
+
+
+def _search(frame: Frame, dim: int, k: int, cell_rows: int, block: int):
+    """Rows of a partition, candidates before queries -> each query's best in the partition."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, cells, held = None, [], []
+
+        def close():
+            ids, vectors = (np.concatenate(c) for c in zip(*held))
+            cells.extend(Cell(ids[a : a + cell_rows], vectors[a : a + cell_rows], frame) for a in range(0, len(ids), cell_rows))
+            held.clear()
 
         for batch in batches:
-            cells, is_query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            names, x = batch.column(2).to_numpy(), matrix(batch.column(3), dim)
-            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(is_query.astype(int)) != 0)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(cells)]):
+            parts, asking = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            names, x, floors = batch.column(1).to_numpy(), matrix(batch.column(2), dim), batch.column(3).fill_null(0).to_numpy()
+            cuts = np.flatnonzero((np.diff(parts) != 0) | (np.diff(asking.astype(int)) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(parts)]):
                 if a == b:
                     continue
-                if cells[a] != cell:
-                    cell, ids, vecs, searched = cells[a], [], [], None
-                if is_query[a]:
-                    ask(names[a:b], x[a:b])
-                else:
-                    ids.append(names[a:b])
-                    vecs.append(x[a:b])
-            if hits:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)) for h in zip(*hits)], ["query_id", "vec_id", "score"])
-                hits.clear()
+                if parts[a] != part:
+                    part, cells, held = parts[a], [], []
+                if not asking[a]:
+                    held.append((names[a:b], x[a:b]))
+                    if sum(len(h[0]) for h in held) >= cell_rows:
+                        close()
+                    continue
+                if held:
+                    close()
+                for c in range(a, b, block):
+                    some = slice(c, min(c + block, b))
+                    queries = Queries(names[some], x[some], floors[some], frame, k)
+                    for cell in cells:
+                        cell.search(queries)
+                    sizes = [len(f[0]) for f in queries.found]
+                    columns = [np.repeat(queries.ids, sizes), *(np.concatenate(v) for v in zip(*queries.found))]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = 16, cell_rows: int = 8192, block: int = 128, sample: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, part_rows: int = 1 << 17, cell_rows: int = 8192, block: int = 128, sample: int = 2048) -> DataFrame:
     """For each row of queries (vec_id, vec) its k best of vectors: query_id, rank, vec_id, score.
 
     The pivots are chosen from `sample` vectors, which only affects speed; every vector is searched."""
+    spark = vectors.sparkSession
     shape = vectors.agg(F.max(F.size("vec")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
-    dim, cells = max(shape["dim"] or 0, 1), max(1, -(-shape["n"] // cell_rows))
-    some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow().column("vec").combine_chunks()
-    some = some.chunk(0) if isinstance(some, pa.ChunkedArray) else some
-    chosen = choose_pivots(matrix(some, dim), pivots)
-    candidates = vectors.select(F.pmod(F.xxhash64("vec_id", "vec"), F.lit(cells)).cast("int").alias("cell"), F.lit(False).alias("is_query"), "vec_id", "vec")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(True).alias("is_query"), "vec_id", "vec")
-    dealt = candidates.unionByName(asked).repartition(cells, "cell").sortWithinPartitions("cell", "is_query")
-    hits = dealt.mapInArrow(_cells(chosen, dim, k, block), HITS)
+    dim, n = max(shape["dim"] or 0, 1), shape["n"]
+    # enough partitions for the cluster, and none with more than some tens of MB of candidates
+    parts = max(1, -(-n // part_rows), min(2 * spark.sparkContext.defaultParallelism, -(-n // 2048)))
+    some = vectors.orderBy(F.xxhash64("vec_id", "vec"), "vec_id").limit(sample).select("vec_id", "vec").toArrow().combine_chunks()
+    lists = some.column("vec").combine_chunks() if some.num_rows else pa.array([], pa.list_(pa.int64()))
+    known, names = matrix(lists, dim), some.column("vec_id").to_numpy()
+    frame = fitting_frame(known, k)
+    candidates = vectors.select(F.pmod(F.xxhash64("vec_id", "vec"), F.lit(parts)).cast("int").alias("part"), "vec_id", "vec", F.lit(None).cast("long").alias("floor"))
+    begun = queries.select("vec_id", "vec").mapInArrow(_floors(known, names, dim, k), "vec_id long, vec array<long>, floor long")
+    asked = begun.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "vec_id", "vec", "floor")
+    dealt = candidates.unionByName(asked).repartitionById(parts, "part").sortWithinPartitions("part", F.col("floor").isNotNull())
+    hits = dealt.mapInArrow(_search(frame, dim, k, cell_rows, block), HITS)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

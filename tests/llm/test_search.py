@@ -30,20 +30,58 @@ def rows():
 def test_top_k(spark):
     data = rows()
     vectors = search.quantise(spark.createDataFrame(data, SCHEMA))
-    for cell_rows, block in ((8192, 128), (100, 3)):
-        got = search.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20, cell_rows=cell_rows, block=block).collect()
+    for part_rows, cell_rows, block in ((1 << 17, 8192, 128), (100, 30, 3)):
+        got = search.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20, part_rows=part_rows, cell_rows=cell_rows, block=block).collect()
         assert {tuple(r) for r in got} == brute(data, 20) and len(got) == len(brute(data, 20))
 
 
-def test_elimination_skips_far_candidates():
+def clustered(size):
     rng = np.random.default_rng(2)
-    x = (np.repeat(rng.normal(size=(40, 8)) * 400, 100, 0) + rng.normal(size=(4000, 8)) * 4).astype(np.int64)
-    cell = search.Cell(np.arange(4000), x, search.choose_pivots(x[::7], 16))
-    for query, ids, scores in cell.search(np.arange(50), x[:50], 5):
+    return (np.repeat(rng.normal(size=(40, 8)) * 400, size // 40, 0) + rng.normal(size=(size, 8)) * 4).astype(np.int64)
+
+
+def test_elimination_skips_far_candidates():
+    x = clustered(4000)
+    frame = search.fitting_frame(x[::7], 5)
+    cell = search.Cell(np.arange(4000), x, frame)
+    queries = search.Queries(np.arange(50), x[:50], np.full(50, -(2**63)), frame, 5)
+    evaluated = cell.search(queries)
+    for query, (ids, scores) in enumerate(queries.found):
         exact = x @ x[query]
         exact[query] = exact.min() - 1
         assert ids.tolist() == np.lexsort((np.arange(4000), -exact))[:5].tolist() and scores.tolist() == exact[ids].tolist()
-    assert cell.evaluated < 50 * 4000 * 0.8
+    assert evaluated < 50 * 4000 * 0.1
+
+
+def test_floors_are_carried_from_cell_to_cell():
+    x = clustered(4000)
+    order = np.random.default_rng(3).permutation(4000)
+    frame = search.fitting_frame(x[::7], 5)
+    cells = [search.Cell(order[a : a + 500], x[order[a : a + 500]], frame) for a in range(0, 4000, 500)]
+    run = lambda carried: sum(c.search(carried()) for c in cells)
+    fresh = lambda: search.Queries(np.arange(50), x[:50], np.full(50, -(2**63)), frame, 5)
+    one = fresh()
+    assert run(lambda: one) < run(fresh)
+
+
+def test_bounds_hold_and_are_no_weaker_than_single_pivots():
+    rng = np.random.default_rng(4)
+    x, q = rng.integers(-64, 64, (300, 12)), rng.integers(-64, 64, (20, 12))
+    for count in (0, 1, 5, 12):
+        frame = search.Frame(search.choose_pivots(x, count))
+        got = search.bounds(frame.measured(q), frame.measured(x))
+        assert (got >= q @ x.T).all()
+        far = [search.pivot_table(v, frame.pivots) for v in (q, x)]
+        low = np.abs(far[0][:, None] - far[1][None]).max(2)
+        single = ((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - low**2) / 2
+        assert (got <= single + 1e-4 * np.abs(single) + 2).all()
+    assert np.allclose(got, q @ x.T, rtol=1e-3, atol=2)  # as many pivots as dimensions leave no doubt
+
+
+def test_pivots_of_poor_samples():
+    assert len(search.choose_pivots(np.zeros((5, 3), np.int64), 4)) == 0
+    assert len(search.choose_pivots(np.array([[1, 2, 3], [2, 4, 6], [0, 0, 0]]), 4)) == 1
+    assert len(search.fitting_frame(np.zeros((0, 3), np.int64), 4).pivots) == 0
 
 
 def test_large_components_stay_exact():
