@@ -3,25 +3,31 @@
 The public model is of the BPE kind. A sequence of pieces is the model's encoding of a text exactly if each pair
 of neighbours is the encoding of its own text, so encoding is a best-path problem whose arcs weigh 0 (the pair
 holds) or minus infinity. Over these weights a chunk's transfer matrix, from the pieces that may cross its start
-to those that may cross its end, is a table of bits; matrices of neighbouring chunks combine associatively, the
-combination gives the pieces that really cross each boundary, and every chunk is then traced back on its own.
+to those that may cross its end, is a table of bits. Matrices of neighbouring chunks combine associatively: level by
+level, FAN neighbours become one, many groups at a time, until a document is one matrix. Its last piece is known,
+and level by level back down each group finds the pieces that really cross its inner boundaries. Every chunk is then
+traced back on its own from the lattice that its scan has stored. No task holds more of a document than FAN
+matrices or one chunk until the ids are joined to the document's row.
 
 Documents of up to `giant` characters are encoded by the library, each distinct piece between single blanks
 once; longer ones are cut into chunks that different tasks scan and trace. Both give the library's ids.
 
 Defined results: null text counts as empty and has no ids; U+2581, which stands for a blank in the pieces, is
 decoded as a blank; rows that share a doc_id are encoded each on its own; an empty table gives no rows; extra
-columns are ignored.
+columns are ignored. Null ids are kept. A model of another kind (see `scannable`) encodes whole documents of any length.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +38,14 @@ from folio.llm.tokens import PieceEncoder, encoder
 BLANK = "▁"
 ENCODED = "doc_id long, text_sha256 string, ids binary"
 CHUNK = "key long, doc_id long, text_sha256 string, chunk int, first int, last int, size int, at int, text string"
+SCANNED = "key long, doc_id long, text_sha256 string, chunk int, first int, size int, at int, text string, matrix string, trail binary"
+MATRIX = "key long, chunk int, size int, matrix string"
+CROSSED = "key long, chunk int, in_start int, in_end int, out_start int, out_end int"
+TRACED = "key long, doc_id long, text_sha256 string, chunk int, ids binary"
+#: Neighbouring matrices that are combined at once.
+FAN = 16
+#: Chunks of a task.
+CHUNKS = 4
 
 #: (start, end) of a piece in the document's marked text; START is the state before the first piece.
 State = tuple[int, int]
@@ -145,6 +159,26 @@ class Chunk:
     def _piece(self, start: int, end: int) -> str:
         return self.text[start - self.at : end - self.at] if start >= 0 else ""
 
+    def trail(self) -> bytes:
+        """What trace() needs of the lattice: the nodes, and the bits of the entries that lead there."""
+        masks: dict[int, int] = {}
+        rows = [(end, start, masks.setdefault(bits, len(masks))) for end, found in self.nodes.items() for start, bits in found]
+        head = json.dumps([self.entries, [hex(m) for m in masks], len(rows)]).encode()
+        return zstandard.ZstdCompressor(level=1).compress(len(head).to_bytes(4, "little") + head + np.array(rows, "<i4").reshape(-1, 3).T.tobytes())
+
+    @classmethod
+    def opened(cls, lattice: Lattice, text: str, at: int, first: int, trail: bytes) -> Chunk:
+        """A chunk that can be traced, from its trail."""
+        chunk = cls.__new__(cls)
+        chunk.lattice, chunk.text, chunk.at, chunk.first = lattice, text, at, first
+        raw = zstandard.ZstdDecompressor().decompress(trail)
+        size = int.from_bytes(raw[:4], "little")
+        entries, masks, n = json.loads(raw[4 : 4 + size])
+        chunk.entries, bits, chunk.nodes = [tuple(e) for e in entries], [int(m, 16) for m in masks], {}
+        for end, start, mask in np.frombuffer(raw, "<i4", 3 * n, 4 + size).reshape(3, n).T.tolist():
+            chunk.nodes.setdefault(end, []).append((start, bits[mask]))
+        return chunk
+
     def trace(self, entry: State, exit_: State) -> list[int]:
         """The ids of the pieces that begin in the chunk on the path from the entry to the exit."""
         bit, path, (start, end) = 1 << self.entries.index(entry), [], exit_
@@ -173,17 +207,22 @@ def combine(a: Matrix, b: Matrix) -> Matrix:
     return a[0], out
 
 
-def crossings(matrices: list[Matrix], size: int) -> list[State]:
-    """The state at each chunk's start, and the last piece: prefix combinations, then back from the end."""
-    prefix = [matrices[0]]
-    for m in matrices[1:]:
-        prefix.append(combine(prefix[-1], m))
-    states = [next(state for state, bits in prefix[-1][1] if state[1] == size and bits)]
-    for k in range(len(matrices) - 1, 0, -1):
+def last_state(matrix: Matrix, size: int) -> State:
+    """The last piece of a text of `size` characters, from the matrix of all of it."""
+    return next(state for state, bits in matrix[1] if state[1] == size and bits)
+
+
+def crossings(matrices: list[Matrix], entry: State, exit_: State) -> list[State]:
+    """The states at the boundaries of neighbouring matrices, from the first one's entry to the last one's exit."""
+    reached = [{entry}]
+    for entries, exits in matrices:
+        mask = sum(1 << k for k, state in enumerate(entries) if state in reached[-1])
+        reached.append({state for state, bits in exits if bits & mask})
+    states = [exit_]
+    for k in range(len(matrices) - 1, -1, -1):
         bits = dict(matrices[k][1])[states[-1]]
-        reached = dict(prefix[k - 1][1])
-        states.append(next(s for j, s in enumerate(matrices[k][0]) if bits >> j & 1 and reached.get(s)))
-    return [START, *reversed(states)]
+        states.append(next(s for j, s in enumerate(matrices[k][0]) if bits >> j & 1 and s in reached[k]))
+    return states[::-1]
 
 
 _lattices: dict[str, Lattice] = {}
@@ -222,68 +261,128 @@ def _cut(path: str, chunk: int):
     return run
 
 
-def _chunks(batch: pa.RecordBatch, lattice: Lattice) -> Iterator[tuple[dict, Chunk]]:
-    for row in batch.to_pylist():
-        yield row, Chunk(lattice, row["text"], row["at"], row["first"], row["last"], row["size"])
+def _packed(matrix: Matrix) -> str:
+    return json.dumps([matrix[0], [(s, hex(b)) for s, b in matrix[1]]])
+
+
+def _unpacked(raw: str) -> Matrix:
+    entries, exits = json.loads(raw)
+    return [tuple(e) for e in entries], [(tuple(s), int(b, 16)) for s, b in exits]
+
+
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    names, types = zip(*(f.split(" ") for f in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*rows), types)], list(names))
 
 
 def _scan(path: str):
-    """Chunks -> their transfer matrices."""
+    """Chunks -> their transfer matrices and what tracing them takes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, chunk in _chunks(batch, _lattice(path)):
-                matrix = json.dumps([chunk.entries, [(s, hex(b)) for s, b in chunk.matrix]])
-                yield pa.RecordBatch.from_arrays([pa.array([row["key"]], pa.int64()), pa.array([row["chunk"]], pa.int32()), pa.array([row["size"]], pa.int32()), pa.array([matrix])], ["key", "chunk", "size", "matrix"])
+            for r in batch.to_pylist():
+                chunk = Chunk(_lattice(path), r["text"], r["at"], r["first"], r["last"], r["size"])
+                yield _rows(SCANNED, [(r["key"], r["doc_id"], r["text_sha256"], r["chunk"], r["first"], r["size"], r["at"], r["text"], _packed((chunk.entries, chunk.matrix)), chunk.trail())])
 
     return run
 
 
-def _cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matrices by document and chunk -> each chunk's entry and exit. A matrix has some dozens of states, whatever the chunk."""
-
-    def done(key, size, matrices):
-        s = crossings(matrices, size)
-        n = len(matrices)
-        flat = lambda k, j: pa.array([x[j] for x in s[k : k + n]], pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(n), pa.int32()), flat(0, 0), flat(0, 1), flat(1, 0), flat(1, 1)], ["key", "chunk", "in_start", "in_end", "out_start", "out_end"])
-
-    last, size, held = None, 0, []
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows sorted by key and chunk -> the rows of each group of neighbours (key, chunk // FAN)."""
+    last, held = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            if row["key"] != last and held:
-                yield done(last, size, held)
+            if (row["key"], row["chunk"] // FAN) != last and held:
+                yield held
                 held = []
-            last, size = row["key"], row["size"]
-            entries, exits = json.loads(row["matrix"])
-            held.append(([tuple(e) for e in entries], [(tuple(s), int(b, 16)) for s, b in exits]))
+            last = row["key"], row["chunk"] // FAN
+            held.append(row)
     if held:
-        yield done(last, size, held)
+        yield held
+
+
+def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matrices -> one for each group of neighbours."""
+    for group in _groups(batches):
+        yield _rows(MATRIX, [(group[0]["key"], group[0]["chunk"] // FAN, group[0]["size"], _packed(reduce(combine, (_unpacked(r["matrix"]) for r in group))))])
+
+
+def _ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matrices of whole documents -> their first and last states."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            yield _rows(CROSSED, [(r["key"], r["chunk"], *START, *last_state(_unpacked(r["matrix"]), r["size"]))])
+
+
+def _cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matrices with the states at the ends of their group -> the states at the ends of each."""
+    for group in _groups(batches):
+        r = group[0]
+        s = crossings([_unpacked(g["matrix"]) for g in group], (r["in_start"], r["in_end"]), (r["out_start"], r["out_end"]))
+        yield _rows(CROSSED, [(r["key"], g["chunk"], *a, *b) for g, a, b in zip(group, s, s[1:])])
 
 
 def _trace(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, chunk in _chunks(batch, _lattice(path)):
-                ids = np.asarray(chunk.trace((row["in_start"], row["in_end"]), (row["out_start"], row["out_end"])), "<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([row["key"]], pa.int64()), pa.array([row["doc_id"]], pa.int64()), pa.array([row["text_sha256"]]), pa.array([row["chunk"]], pa.int32()), pa.array([ids], pa.binary())], ["key", "doc_id", "text_sha256", "chunk", "ids"])
+            for r in batch.to_pylist():
+                chunk = Chunk.opened(_lattice(path), r["text"], r["at"], r["first"], r["trail"])
+                ids = np.asarray(chunk.trace((r["in_start"], r["in_end"]), (r["out_start"], r["out_end"])), "<u4").tobytes()
+                yield _rows(TRACED, [(r["key"], r["doc_id"], r["text_sha256"], r["chunk"], ids)])
 
     return run
 
 
+def _join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids by document and chunk -> whole documents."""
+    last, held = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if last and r["key"] != last["key"]:
+                yield _rows(ENCODED, [(last["doc_id"], last["text_sha256"], b"".join(held))])
+                held = []
+            last = r
+            held.append(r["ids"])
+    if last:
+        yield _rows(ENCODED, [(last["doc_id"], last["text_sha256"], b"".join(held))])
+
+
+def _scanned_ids(chunks: DataFrame, model: str) -> DataFrame:
+    """Documents with their ids from a written table of their chunks."""
+    shape = chunks.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("docs"), F.max("chunk").alias("last")).first()
+    if not shape["n"]:
+        return chunks.sparkSession.createDataFrame([], ENCODED)
+    tasks = math.ceil(shape["n"] / CHUNKS)
+    # dealt by number, as adaptive execution would put so few bytes into one task
+    scanned = common.materialize(chunks.repartition(tasks, "key", "chunk").mapInArrow(_scan(model), SCANNED), "scanned")
+    levels, last, n = [scanned.select("key", "chunk", "size", "matrix")], shape["last"], tasks
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("group", F.expr(f"chunk div {FAN}")).repartition(n, "key", "group").sortWithinPartitions("key", "chunk").drop("group")
+
+    while last:
+        n, last = math.ceil(n / FAN), last // FAN
+        levels.append(common.materialize(grouped(levels[-1]).mapInArrow(_combine, MATRIX), "combined"))
+    states = levels.pop().mapInArrow(_ends, CROSSED)
+    while levels:
+        groups = states.withColumnRenamed("chunk", "group")
+        n = min(tasks, n * FAN)
+        inner = levels.pop().withColumn("group", F.expr(f"chunk div {FAN}")).join(groups, ["key", "group"]).drop("group")
+        states = common.materialize(grouped(inner).mapInArrow(_cross, CROSSED), "crossed")
+    traced = scanned.join(states, ["key", "chunk"]).repartition(tasks, "key", "chunk").mapInArrow(_trace(model), TRACED)
+    return traced.repartition(shape["docs"], "key").sortWithinPartitions("key", "chunk").mapInArrow(_join, ENCODED)
+
+
 def encode(docs: DataFrame, model: str, giant: int = 1 << 16, chunk: int = 1 << 14) -> DataFrame:
     """Each row of docs (doc_id, text) with its ids as little-endian uint32, and the sha256 of its text with U+2581 as blanks."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.replace(text, F.lit(BLANK), F.lit(" ")), 256).alias("text_sha256"), text.alias("text"))
+    if not scannable(read_model(model)):
+        return rows.mapInArrow(_encode(model), ENCODED)
     short = rows.filter(F.length("text") <= giant).mapInArrow(_encode(model), ENCODED)
     chunks = common.materialize(rows.filter(F.length("text") > giant).mapInArrow(_cut(model, chunk), CHUNK), "chunks")
-    dealt = chunks.repartition("key", "chunk")
-    matrices = dealt.mapInArrow(_scan(model), "key long, chunk int, size int, matrix string")
-    crossed = matrices.repartition("key").sortWithinPartitions("key", "chunk").mapInArrow(_cross, "key long, chunk int, in_start int, in_end int, out_start int, out_end int")
-    traced = chunks.join(crossed, ["key", "chunk"]).mapInArrow(_trace(model), "key long, doc_id long, text_sha256 string, chunk int, ids binary")
-    whole = traced.groupBy("key", "doc_id", "text_sha256").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
-    return short.unionByName(whole.select("doc_id", "text_sha256", joined.alias("ids")))
+    return short.unionByName(_scanned_ids(chunks, model))
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
