@@ -65,10 +65,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 worker_caches: list[dict] = []
 
 
-def free_worker() -> None:
-    """Drop what tasks of other operators left in this Python worker, and give the memory back."""
-    if any(worker_caches):
-        for cache in worker_caches:
+def free_worker(keep: dict | None = None) -> None:
+    """Drop what other tasks left in this Python worker, all caches but `keep`, and give the memory back."""
+    left = [cache for cache in worker_caches if cache and cache is not keep]
+    if left:
+        for cache in left:
             cache.clear()
         gc.collect()
         with contextlib.suppress(OSError, AttributeError):  # another C library

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import common
+from folio.llm import common, tokens
 from folio.llm.tokens import PieceEncoder, encoder
 
 BLANK = "▁"
@@ -92,7 +92,7 @@ class SentenceEncoder(PieceEncoder):
 class Lattice:
     """Pieces of a model and which of them may follow one another."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         import sentencepiece
 
         model = read_model(path)
@@ -237,6 +237,7 @@ def _lattice(path: str) -> Lattice:
 
 def _encode(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.free_worker(tokens._encoders)
         for batch in common.byte_slices(batches, "text", 4_000_000):
             ids, at = encoder(path, False, SentenceEncoder).encode(batch.column(2))
             packed = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((np.asarray(at, np.int64) * 4).tobytes()), pa.py_buffer(ids.astype("<u4"))])
@@ -280,6 +281,7 @@ def _scan(path: str):
     """Chunks -> their transfer matrices and what tracing them takes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.free_worker(_lattices)
         for batch in batches:
             for r in batch.to_pylist():
                 chunk = Chunk(_lattice(path), r["text"], r["at"], r["first"], r["last"], r["size"])
@@ -325,6 +327,7 @@ def _cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _trace(path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.free_worker(_lattices)
         for batch in batches:
             for r in batch.to_pylist():
                 chunk = Chunk.opened(_lattice(path), r["text"], r["at"], r["first"], r["trail"])
