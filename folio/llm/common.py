@@ -92,6 +92,25 @@ def plain_names(docs: DataFrame) -> DataFrame:
     return docs.toDF(*(name if name in ("doc_id", "text") else f"extra_{k}" for k, name in enumerate(docs.columns)))
 
 
+#: Keys that hub_join broadcasts at most, some tens of bytes each.
+HUBS = 8192
+
+
+def hub_bound(rows: int, least: int = 200) -> int:
+    """So many rows of one key make it a hub: of `rows` rows, HUBS keys at most have more."""
+    return max(least, -(-rows // HUBS))
+
+
+def hub_join(rows: DataFrame, facts: DataFrame, key: str, size: str, bound: int) -> DataFrame:
+    """rows joined with facts (one row a key; `size`: how many of the rows have it).
+
+    Keys of more than `bound` rows are not dealt by key: their facts are broadcast. hub_bound() gives a bound that
+    keeps their number below HUBS whatever the input."""
+    hubs = F.broadcast(facts.filter(F.col(size) > bound))
+    rest = rows.join(hubs.select(key), key, "left_anti").join(facts.filter(F.col(size) <= bound), key)
+    return rows.join(hubs, key).unionByName(rest)
+
+
 def byte_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of the batches with about `limit` bytes of the binary or string column each (one row at least)."""
     import numpy as np

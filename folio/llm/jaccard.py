@@ -494,10 +494,14 @@ def _compared(members: DataFrame, queries: DataFrame, texts: DataFrame, percent:
     blocks of members, each with all the key's queries."""
     members, queries = common.materialize(members, "members"), common.materialize(queries, "queries")
     blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
-    keys = members.join(queries.select("key").distinct(), "key", "left_semi")
-    parts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", blocks.alias("blocks"))
-    shown = keys.join(parts, "key").select("key", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "gid", "rid")
-    asking = queries.join(parts, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "gid", "rid")
+    asked = queries.groupBy("key").agg(F.count(F.lit(1)).alias("asked"))
+    parts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(asked, "key").select("key", "n", "asked", blocks.alias("blocks"))
+    parts = common.materialize(parts, "parts")
+    sums = parts.agg(F.sum("n"), F.sum("asked")).first()
+    shown = common.hub_join(members, parts, "key", "n", common.hub_bound(sums[0] or 0))
+    shown = shown.select("key", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "gid", "rid")
+    asking = common.hub_join(queries, parts, "key", "asked", common.hub_bound(sums[1] or 0))
+    asking = asking.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "gid", "rid")
     rows = common.materialize(shown.unionByName(asking), "opened")
     dealt = rows.join(_texts_of(texts, rows), "rid").select("key", "block", "kind", "gid", "text").repartition("key", "block").sortWithinPartitions("key", "block", "kind", "gid")
     return common.materialize(dealt.mapInArrow(_compare(percent), EDGES).distinct(), "links")
@@ -520,12 +524,14 @@ def _linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     return common.materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, buckets: int = 64, frequent_from: int = 12, tries: int = 8) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id."""
+def jaccard_components(docs: DataFrame, percent: int = 75, bucket_tokens: int = 750_000, frequent_from: int = 12, tries: int = 8) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id. A bucket of the matrix holds about `bucket_tokens` cells."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     texts = common.materialize(rows.mapInArrow(_sign, TEXTS), "texts")
     frequent, places = _frequent(texts, frequent_from)
     real = texts.filter("rid IS NOT NULL")
+    prefixes = real.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
+    buckets = max(1, -(-int(prefixes) // bucket_tokens))
     dealt = real.select("rid", "doc_id", "n", "gk", "text").repartitionByRange("gk", "n", "rid").sortWithinPartitions("gk", "n", "rid")
     grouped = common.materialize(dealt.mapInArrow(_group(frequent, places, buckets, percent, tries), GROUPED), "groups")
     members = grouped.filter("kind = 0").select("rid", "doc_id", "n", "cid", "gid", "leader", "last")
@@ -549,38 +555,54 @@ def jaccard_components(docs: DataFrame, percent: int = 75, buckets: int = 64, fr
     # each with the central class that it meets most
     best = near.groupBy("q").agg(F.max_by("s", F.struct("shared", "s")).alias("s"))
     here, there = (family.select(F.col("cid").alias(c), F.col("gid").alias(g), F.col("rid").alias(r)) for c, g, r in (("q", "a", "rid_a"), ("s", "b", "rid_b")))
-    first = best.join(here, "q").join(there, "s").filter("a <> b").select("a", "b", "rid_a", "rid_b")
+    best = common.materialize(best.join(here, "q"), "best")
+    there = common.materialize(there.join(best.groupBy("s").agg(F.count(F.lit(1)).alias("near")), "s"), "central")
+    first = common.hub_join(best, there, "s", "near", common.hub_bound(best.count())).filter("a <> b").select("a", "b", "rid_a", "rid_b")
     met = _linked_pairs(first, texts, percent).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     # and those outside the family's largest part with all of it
     parts = family.join(components(met).select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("part", F.coalesce("root", "gid"))
     parts = common.materialize(parts.select(F.col("family").alias("key"), "part", "gid", "rid"), "parts")
-    largest = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
-    apart = parts.join(largest, "key").filter("part <> largest").select("key", "gid", "rid")
+    largest = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum("n").alias("size"))
+    apart = common.hub_join(parts, largest, "key", "size", common.hub_bound(parts.count())).filter("part <> largest").select("key", "gid", "rid")
     edges = common.materialize(met.unionByName(_compared(parts.select("key", "gid", "rid"), apart, texts, percent)), "edges")
     roots = common.materialize(components(edges), "roots")
 
     # second reading, with the groups of a component as one, and without classes that share no token
-    some = classes.join(shares.select("cid", "shares"), "cid").join(family.select("cid", "family"), "cid", "left").withColumn("family", F.coalesce("family", "cid")).join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
-    whole = classes.join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").groupBy(F.coalesce("root", "gid").alias("root"))
-    whole = whole.agg(F.count(F.lit(1)).alias("size"), F.min("n").cast("long").alias("low"), F.max("n").cast("long").alias("high"), F.min("last").alias("last_low"), F.max("last").alias("last_high"))
-    whole = whole.join(some.groupBy("root").agg(F.max("shares").alias("most")), "root")
+    of_group = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("classes")).join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left")
+    of_group = common.materialize(of_group.select("gid", "classes", F.coalesce("root", "gid").alias("root")), "rooted")
+    bound = common.hub_bound(of_group.agg(F.sum("classes")).first()[0] or 0)
+    rooted = common.materialize(common.hub_join(classes, of_group, "gid", "classes", bound).drop("classes"), "rooted")
+    some = rooted.join(shares.select("cid", "shares"), "cid").join(family.select("cid", "family"), "cid", "left").withColumn("family", F.coalesce("family", "cid"))
+    some = common.materialize(some.select("cid", "root", "last", "shares", "family"), "sharing")
+    whole = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("n").cast("long").alias("low"), F.max("n").cast("long").alias("high"), F.min("last").alias("last_low"), F.max("last").alias("last_high"))
+    whole = common.materialize(whole.join(some.groupBy("root").agg(F.max("shares").alias("most")), "root"), "whole")
     names = ("cid", "root", "size", "low", "high", "last", "shares", "last_low", "last_high", "most", "family")
-    facts = some.select("cid", "root", "last", "shares", "family").join(whole, "root")
+    facts = common.hub_join(some, whole, "root", "size", bound)
     dealt = _read(_renamed(kept, facts, names, 1, 4), _overlaps(percent), 12, MATRIX)
     shared = dealt.groupBy("q", "gq", "g").agg(F.sum("shared").alias("shared"), *(F.max(c).alias(c) for c in ("nq", "last", "low", "high", "last_low", "last_high")))
     open_ = shared.filter(can_link(*(F.col(c) for c in ("shared", "nq", "last", "low", "high", "last_low", "last_high")), percent))
     asked = open_.join(classes.select(F.col("cid").alias("q"), "gid", "rid"), "q").select(F.col("g").alias("key"), "gid", "rid")
-    inside = classes.join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").select(F.coalesce("root", "gid").alias("key"), "gid", "rid")
+    inside = rooted.select(F.col("root").alias("key"), "gid", "rid")
     edges = edges.unionByName(_compared(inside, asked, texts, percent))
     # rows that share a doc_id are one node
-    spread = members.filter("gid IS NOT NULL").groupBy("doc_id").agg(F.min("gid").alias("u"), F.collect_set("gid").alias("v")).filter(F.size("v") > 1)
-    edges = edges.unionByName(spread.select("u", F.explode("v").alias("v")))
-    roots = common.materialize(components(edges), "roots")
-    least_doc = members.filter("gid IS NOT NULL").groupBy("gid").agg(F.min("doc_id").alias("d"))
-    rooted = least_doc.join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
-    named = rooted.groupBy("root").agg(F.min("d").alias("component_id"))
-    of_group = rooted.select("gid", "root").join(named, "root").select("gid", "component_id")
-    return members.join(of_group, "gid", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    grouped_rows = members.filter("gid IS NOT NULL").select("doc_id", "gid", F.col("n").cast("long").alias("n_shingles"))
+    named = common.materialize(grouped_rows.groupBy("gid").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("rows")), "named")
+    bound = common.hub_bound(named.agg(F.sum("rows")).first()[0] or 0)
+    pairs = grouped_rows.groupBy("doc_id", "gid").agg(F.count(F.lit(1)).alias("rows"))
+    several = common.materialize(pairs.groupBy("doc_id").agg(F.min("gid").alias("u"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "several")
+    edges = edges.unionByName(common.hub_join(pairs, several, "doc_id", "size", bound).select("u", F.col("gid").alias("v")))
+    # groups go by the least doc_id of their rows: the root of a component is then its least document, and no
+    # component meets in one task to find it
+    ends = common.materialize(edges.select("u", "v"), "ends")
+    degree = ends.select(F.explode(F.array("u", "v")).alias("gid")).groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
+    least, many = common.materialize(named.select("gid", "d").join(degree, "gid"), "ends"), common.hub_bound(2 * ends.count())
+    for end in ("u", "v"):
+        ends = common.hub_join(ends, least.withColumnsRenamed({"gid": end, "d": f"d_{end}"}), end, "size", many).drop("size")
+    roots = common.materialize(components(ends.select(F.col("d_u").alias("u"), F.col("d_v").alias("v"))), "roots")
+    of_group = named.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").select("gid", "rows", F.coalesce("root", "d").alias("component_id"))
+    found = common.hub_join(grouped_rows, common.materialize(of_group, "named"), "gid", "rows", bound)
+    alone = members.filter("gid IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import jaccard, words
+from folio.llm import common, jaccard, words
 from folio.llm.components import components
 
 SCHEMA = "doc_id long, text string, n int, gid long"
@@ -63,13 +63,26 @@ def test_shingle_sets():
     assert [len(s) for s in words.shingle_sets(pa.array(texts))] == [len(shingles(t)) for t in texts]
 
 
-@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"frequent_from": 2, "buckets": 3}), (3, {"tries": 0, "buckets": 1}), (4, {"frequent_from": 10**9})])
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"frequent_from": 2, "bucket_tokens": 300}), (3, {"tries": 0, "bucket_tokens": 10**9}), (4, {"frequent_from": 10**9})])
 def test_components_match_brute_force(spark, seed, options):
     data = rows(seed)
     got = jaccard.jaccard_components(spark.createDataFrame(data, SCHEMA).repartition(3), **options).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(data)
 
 
+def test_hubs_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(common, "hub_bound", lambda rows: 1)
+    data = rows(7)
+    got = jaccard.jaccard_components(spark.createDataFrame(data, SCHEMA).repartition(3)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(data)
+
+
+def test_components_of_nulls_loops_and_repeated_edges(spark):
+    edges = [(1, 2), (1, 2), (2, 1), (3, 3), (None, 4), (5, None)] + [(10, k) for k in range(11, 300)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {1: 1, 2: 1, **dict.fromkeys(range(10, 300), 10)}
+
+
 def test_threshold_is_exact():
     a = np.arange(7, dtype=np.uint64)
     assert jaccard.linked(a[:3], a[:4], 75) and not jaccard.linked(a[:2], a[:3], 75)
