@@ -49,8 +49,9 @@ EDGES = "u long, v long"
 MATRIX = "q long, gq long, g long, shared int, nq long, last long, low long, high long, last_low long, last_high long"
 #: Tokens of the list that goes last in the order, 16 bytes each; which tokens are in it affects speed alone.
 FREQUENT = 1 << 17
-#: Members of a group that are opened together: their whole sets are held at once.
-BLOCK_MEMBERS = 256
+#: Members of a group that are opened together, and queries that they are compared with in a task: members' whole
+#: sets are held at once, and a group of any size spreads over tasks.
+BLOCK_MEMBERS = BLOCK_QUERIES = 128
 #: Candidate rows up to which their ids are broadcast, 8 bytes each; beyond, a shuffle join.
 BROADCAST_ROWS = 500_000
 
@@ -443,7 +444,7 @@ def links(members: list[np.ndarray], queries: list[np.ndarray], percent: int, wi
 
 
 def _compare(percent: int, at_once: int = 128):
-    """Members of a block and then its queries (key, block, kind, gid, text) -> edges between the groups that link.
+    """Members of a block and then queries (key, block, slice, kind, gid, text) -> edges between the groups that link.
 
     Edges that add nothing to those of the block are left out."""
 
@@ -466,11 +467,11 @@ def _compare(percent: int, at_once: int = 128):
             queries.clear()
 
         for batch in common.byte_slices(batches, "text", 4_000_000):
-            key, block, kind, gid = (batch.column(k).to_pylist() for k in range(4))
-            for k, s in enumerate(shingle_sets(batch.column(4))):
-                if (key[k], block[k]) != last:
+            key, block, part, kind, gid = (batch.column(k).to_pylist() for k in range(5))
+            for k, s in enumerate(shingle_sets(batch.column(5))):
+                if (key[k], block[k], part[k]) != last:
                     ask()
-                    last = key[k], block[k]
+                    last = key[k], block[k], part[k]
                     members.clear()
                     parent.clear()
                 if kind[k] == 0:
@@ -491,19 +492,21 @@ def _compare(percent: int, at_once: int = 128):
 
 def _compared(members: DataFrame, queries: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) between groups: of members (key, gid, rid) and queries (key, gid, rid) of the same key, compared in
-    blocks of members, each with all the key's queries."""
+    blocks of members, each with all the key's queries, slice by slice."""
     members, queries = common.materialize(members, "members"), common.materialize(queries, "queries")
-    blocks = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    blocks, slices = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int"), F.ceil(F.col("asked") / BLOCK_QUERIES).cast("int")
     asked = queries.groupBy("key").agg(F.count(F.lit(1)).alias("asked"))
-    parts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(asked, "key").select("key", "n", "asked", blocks.alias("blocks"))
+    parts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(asked, "key").select("key", "n", "asked", blocks.alias("blocks"), slices.alias("slices"))
     parts = common.materialize(parts, "parts")
     sums = parts.agg(F.sum("n"), F.sum("asked")).first()
     shown = common.hub_join(members, parts, "key", "n", common.hub_bound(sums[0] or 0))
-    shown = shown.select("key", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "gid", "rid")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
+    shown = shown.select("key", some("blocks").alias("block"), each("slices").alias("slice"), F.lit(0).alias("kind"), "gid", "rid")
     asking = common.hub_join(queries, parts, "key", "asked", common.hub_bound(sums[1] or 0))
-    asking = asking.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "gid", "rid")
+    asking = asking.select("key", each("blocks").alias("block"), some("slices").alias("slice"), F.lit(1).alias("kind"), "gid", "rid")
     rows = common.materialize(shown.unionByName(asking), "opened")
-    dealt = rows.join(_texts_of(texts, rows), "rid").select("key", "block", "kind", "gid", "text").repartition("key", "block").sortWithinPartitions("key", "block", "kind", "gid")
+    dealt = rows.join(_texts_of(texts, rows), "rid").select("key", "block", "slice", "kind", "gid", "text").repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "kind", "gid")
     return common.materialize(dealt.mapInArrow(_compare(percent), EDGES).distinct(), "links")
 
 

@@ -129,3 +129,11 @@ def test_can_link_loses_no_size(spark):
     names = ("shared", "nq", "last", "low", "high", "last_low", "last_high")
     columns = spark.createDataFrame(cases, ", ".join(f"{n} long" for n in names)).select(*names, jaccard.can_link(*(F.col(n) for n in names), 75).alias("ok"))
     assert {tuple(r)[:7]: r["ok"] for r in columns.collect()} == dict(zip(cases, want))
+
+
+def test_blocks_and_slices_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(jaccard, "BLOCK_QUERIES", 2)
+    data = rows(8)
+    got = jaccard.jaccard_components(spark.createDataFrame(data, SCHEMA).repartition(3)).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(data)
