@@ -13,11 +13,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a folder of our own where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new path below spark.checkpoint.dir, or in local mode below a folder of our own where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not current.isDefined():
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folio-shared-"))
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get()

@@ -25,17 +25,17 @@ def stale_fragments(spark, d):
 
 
 @query("""
-WITH p AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 11 <> 0), r AS (SELECT l_orderkey AS id FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 <> 0 UNION ALL SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 13 = 0)
+WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS id FROM lineitem), p AS (SELECT id FROM f WHERE id % 11 <> 0), r AS (SELECT id FROM f WHERE id % 7 <> 0 UNION ALL SELECT id FROM f WHERE id % 13 = 0)
 SELECT 'duplicate' AS problem, id FROM r GROUP BY id HAVING count(*) > 1
 UNION ALL SELECT 'missing', id FROM (SELECT DISTINCT id FROM p) WHERE id NOT IN (SELECT id FROM r)
 UNION ALL SELECT 'unknown', id FROM (SELECT DISTINCT id FROM r) WHERE id NOT IN (SELECT id FROM p)
 UNION ALL SELECT 'no file', id FROM r WHERE id % 17 = 0
 """)
 def completeness(spark, d):
-    first = load(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.col("l_orderkey").alias("audio_path"))
-    rendered = first.filter("id % 7 <> 0").unionByName(first.filter("id % 13 = 0"))
-    planned = load(spark, d, "orders").filter("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("id"))
-    return checks.completeness_problems(rendered, planned, first.filter("id % 17 <> 0").select("audio_path").distinct())
+    fragments = load(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    made = fragments.withColumn("audio_path", F.col("id"))
+    rendered = made.filter("id % 7 <> 0").unionByName(made.filter("id % 13 = 0"))
+    return checks.completeness_problems(rendered, fragments.filter("id % 11 <> 0"), made.filter("id % 17 <> 0").select("audio_path").distinct())
 
 
 @query("SELECT o_orderkey AS id, o_custkey % 5 = 0 AS moved, o_custkey % 8 = 0 AS rechaptered FROM orders WHERE o_custkey % 5 = 0 OR o_custkey % 8 = 0")
@@ -106,20 +106,7 @@ def _wer(spark: SparkSession, d: str) -> DataFrame:
     return turns.filter("expected IS NOT NULL").withColumn("wer", quality.word_error_rate(F.col("expected"), F.col("heard")))
 
 
-def _tokens(text: str) -> str:
-    return rf"list_filter(string_split_regex(regexp_replace(lower(array_to_string(string_split({text}, ' ')[1:16], ' ')), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+'), lambda x: x <> '')"
-
-
-#: Few enough words that each is one ASCII character: the byte distance of the oracle is then that of words.
-_SYMBOLS = "array_to_string(list_transform({0}, lambda w: chr(32 + list_position(v, w))), '')"
-
-
-@query(f"""
-WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
-w AS (SELECT conv_id, turn, {_tokens("before")} AS a, {_tokens("text")} AS b FROM t WHERE before IS NOT NULL),
-v AS (SELECT *, list_distinct(list_concat(a, b)) AS v FROM w)
-SELECT conv_id, turn, CASE WHEN len(a) > 0 THEN round(levenshtein({_SYMBOLS.format("a")}, {_SYMBOLS.format("b")}) / len(a), 4) WHEN len(b) = 0 THEN 0.0 ELSE 1.0 END AS wer FROM v
-""")
+@query()  # no SQL: DuckDB's edit distance is of bytes; tests hold whole turns to brute force
 def wer(spark, d):
     return _wer(spark, d).select("conv_id", "turn", "wer")
 
@@ -311,11 +298,11 @@ def qa_freshness(spark, d):
 
 
 @query("""
-WITH f AS (SELECT l_suppkey AS voice, l_orderkey || '_' || l_linenumber AS id, l_partkey, l_discount AS wer FROM lineitem WHERE l_quantity < 3)
+WITH f AS (SELECT l_suppkey AS voice, l_orderkey || '_' || l_linenumber AS id, l_partkey, l_discount AS wer FROM lineitem)
 SELECT f.id, f.wer, p_brand AS role, p_brand IS NOT NULL AND p_size > 10 AS has_audio FROM f LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) p ON p.p_partkey = f.l_partkey
 """)
 def findings_page(spark, d):
-    findings = load(spark, d, "lineitem").filter("l_quantity < 3").select(F.format_string("%d_%d", "l_orderkey", "l_linenumber").alias("fragment"), F.col("l_partkey").alias("id"), F.col("l_discount").alias("wer"))
+    findings = load(spark, d, "lineitem").select(F.format_string("%d_%d", "l_orderkey", "l_linenumber").alias("fragment"), F.col("l_partkey").alias("id"), F.col("l_discount").alias("wer"))
     chunks = load(spark, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("role"), F.when(F.col("p_size") > 10, "x").alias("audio_path"))
     return catalog.findings_page(findings, chunks).select(F.col("fragment").alias("id"), "wer", "role", "has_audio")
 
@@ -328,8 +315,8 @@ def run_fragments(spark, d):
     return catalog.run_fragments(fragments, chunks, assets).select("id", "text", "sha256")
 
 
-@query("SELECT o_orderkey AS id FROM orders WHERE o_custkey % 3 = 0")
+@query("SELECT o_orderkey AS id FROM orders")
 def verified_results(spark, d):
-    rows = load(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("voice"), F.sha2(F.col("o_totalprice").cast("string"), 256).alias("fingerprint"), "o_custkey")
-    done = checks.verified_results(rows.filter("o_custkey % 3 = 0").drop("o_custkey"), rows.drop("o_custkey"))
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("voice"), F.sha2(F.col("o_totalprice").cast("string"), 256).alias("fingerprint"))
+    done = checks.verified_results(rows, rows)
     return done.select(F.col("id").cast("long").alias("id"))

@@ -97,15 +97,15 @@ def first_findings(spark, d):
 
 
 @query("""
-SELECT c_custkey AS slug, o.n AS outputs, s_name AS report, NULL::VARCHAR IS NULL AS no_qa FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o.o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_custkey
+SELECT c_custkey AS slug, o.n AS outputs, s_name AS report, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal END AS percent FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o.o_custkey = c_custkey LEFT JOIN supplier ON s_suppkey = c_custkey
 """)
 def book_views(spark, d):
-    meta = load(spark, d, "customer").select(F.col("c_custkey").alias("slug"))
+    customers = load(spark, d, "customer").select(F.col("c_custkey").alias("slug"), F.col("c_acctbal").alias("percent"))
+    meta = customers.select("slug")
     report = load(spark, d, "supplier").select(F.col("s_suppkey").alias("slug"), F.col("s_name").alias("report"))
-    progress = meta.limit(0).withColumn("percent", F.lit(0.0))
+    progress = customers.filter("slug % 4 = 0")
     outputs = load(spark, d, "orders").select(F.col("o_custkey").alias("slug"))
-    found = tables.book_view(meta, report, progress, outputs)
-    return found.select("slug", "outputs", "report", F.lit("qa" not in found.columns).alias("no_qa"))
+    return tables.book_view(meta, report, progress, outputs).select("slug", "outputs", "report", "percent")
 
 
 @query("""

@@ -62,10 +62,18 @@ def text_quality(spark, d):
     return load(spark, d, "documents").select("doc_id", tx.text_quality(F.col("text")).alias("quality"))
 
 
-@query("SELECT doc_id, sha256(text) AS sha256, CAST(NULL AS VARCHAR) AS bom, CAST(strlen(text) AS BIGINT) AS bytes FROM documents")
+#: Byte-order marks before texts, by doc_id modulo 6.
+MARKS = {1: "efbbbf", 2: "fffe", 3: "feff", 4: "fffe0000", 5: "0000feff"}
+
+
+@query("""
+SELECT doc_id, sha256(raw) AS sha256, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16' WHEN 3 THEN 'utf-16' ELSE 'utf-32' END AS bom, octet_length(raw) AS bytes
+FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN ''::BLOB WHEN 1 THEN unhex('efbbbf') WHEN 2 THEN unhex('fffe') WHEN 3 THEN unhex('feff') WHEN 4 THEN unhex('fffe0000') ELSE unhex('0000feff') END || encode('x' || text) AS raw FROM documents)
+""")
 def utf8_bom_check(spark, d):
-    raw = F.col("text").cast("binary")
-    return load(spark, d, "documents").select("doc_id", tx.sha256(raw).alias("sha256"), tx.bom_encoding(raw).alias("bom"), F.octet_length("text").cast("long").alias("bytes"))
+    mark = F.coalesce(*(F.when(F.col("doc_id") % 6 == k, F.unhex(F.lit(m))) for k, m in MARKS.items()), F.lit(b""))
+    raw = F.concat(mark, F.concat(F.lit("x"), F.col("text")).cast("binary"))
+    return load(spark, d, "documents").select("doc_id", tx.sha256(raw).alias("sha256"), tx.bom_encoding(raw).alias("bom"), F.octet_length(raw).cast("long").alias("bytes"))
 
 
 @query("SELECT doc_id, text, 'utf-8' AS encoding, CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'utf-8' ELSE 'ascii' END AS method, false AS needs_review FROM (SELECT doc_id, nfc_normalize(text) AS text FROM documents)".replace("\\\\", "\\"))
@@ -75,19 +83,21 @@ def decode_utf8(spark, d):
 
 
 @query("""
-SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) AS copies, CASE WHEN row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'new' END AS status,
-  CASE WHEN row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 THEN min(doc_id) OVER (PARTITION BY sha256(text)) ELSE -1 END AS duplicate_of
-FROM documents
+WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents), k AS (SELECT h, min('a' || doc_id) AS same_slug FROM d WHERE doc_id % 10 = 3 GROUP BY h),
+w AS (SELECT doc_id, count(*) OVER (PARTITION BY d.h) AS copies, min(doc_id) OVER (PARTITION BY d.h) AS first, same_slug, CASE WHEN doc_id % 10 = 4 THEN 'b' || doc_id END AS path_slug FROM d LEFT JOIN k ON k.h = d.h)
+SELECT doc_id, copies, CASE WHEN same_slug IS NOT NULL THEN 'unchanged' WHEN first < doc_id THEN 'duplicate' WHEN path_slug IS NOT NULL THEN 'revised' ELSE 'new' END AS status,
+  coalesce(same_slug, CASE WHEN first = doc_id THEN path_slug END, 'book') AS slug, CASE WHEN same_slug IS NULL AND first < doc_id THEN first ELSE -1 END AS duplicate_of FROM w
 """)
 def content_duplicates(spark, d):
+    """A scan of all documents, of which a tenth are known by their bytes and a tenth by their path with other bytes."""
     from pyspark.sql import Window
 
-    files = load(spark, d, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("sha256"), F.lit("book").alias("slug"))
-    none = files.limit(0).select("slug", "sha256", F.col("path").alias("source").cast("string"))
-    named = files.withColumn("path", F.format_string("%018d", "path"))
-    found = checks.classify_sources(named, none)
+    files = load(spark, d, "documents").select(F.format_string("%018d", "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"), F.lit("book").alias("slug"), "doc_id")
+    same = files.filter("doc_id % 10 = 3").select(F.format_string("a%d", "doc_id").alias("slug"), "sha256", F.lit("").alias("source"))
+    moved = files.filter("doc_id % 10 = 4").select(F.format_string("b%d", "doc_id").alias("slug"), F.lit("x").alias("sha256"), F.col("path").alias("source"))
+    found = checks.classify_sources(files.drop("doc_id"), same.unionByName(moved))
     copies = F.count(F.lit(1)).over(Window.partitionBy("sha256"))
-    return found.select(F.col("path").cast("long").alias("doc_id"), copies.alias("copies"), "status", F.coalesce(F.col("duplicate_of").cast("long"), F.lit(-1)).alias("duplicate_of"))
+    return found.select(F.col("path").cast("long").alias("doc_id"), copies.alias("copies"), "status", "slug", F.coalesce(F.col("duplicate_of").cast("long"), F.lit(-1)).alias("duplicate_of"))
 
 
 @query("SELECT DISTINCT lang, lower(lang) AS code FROM documents")
@@ -116,7 +126,7 @@ def formatted_labels(spark, d):
 
 @query(r"""
 SELECT item_id, regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '([=;#\\\n])', '\\\1', 'g') AS escaped,
-  'file ''' || replace(substr(text, 1, 30), '''', '''\''''') || '''' AS line, regexp_matches(text, '^[A-Za-z0-9][A-Za-z0-9._-]{0,99}$') AS safe FROM benchmark
+  'file ''' || replace(text, '''', '''\''''') || '''' AS line, regexp_matches(text, '^[A-Za-z0-9][A-Za-z0-9._-]{0,99}$') AS safe FROM benchmark
 """)
 def escapes(spark, d):
     text = F.col("text")
@@ -159,8 +169,8 @@ def html_paragraphs(spark, d):
 
 @query("""
 SELECT doc_id, substr(sha256('{"language":' || to_json(lang) || ',"model":"m@r1","renderer":1,"settings":{"speed":1.0,"temperature":0.7},"text":' || to_json(t)
-  || ',"voice":' || to_json(source) || ',"voice_revision":""}'), 1, 32) AS fingerprint FROM (SELECT doc_id, lang, source, regexp_replace(text, '[^ -~\\n]', '', 'g') AS t FROM documents)
-""".replace("\\\\", "\\"))
+  || ',"voice":' || to_json(source) || ',"voice_revision":""}'), 1, 32) AS fingerprint FROM (SELECT doc_id, lang, source, text AS t FROM documents)
+""")
 def fingerprints(spark, d):
     settings = F.create_map(F.lit("temperature"), F.lit(0.7), F.lit("speed"), F.lit(1.0))
     model = identity.model_identity(F.lit("m"), F.lit("r1"))
@@ -180,7 +190,7 @@ def voice_revisions(spark, d):
 _NUL = r"'\x00'::BLOB"
 
 
-@query(f"SELECT doc_id, substr(sha256({' || '.join(f'encode({p}) || {_NUL}' for p in ('substr(text, 1, 50)', 'lang', 'source', chr(39) + 'r' + chr(39), chr(39) + 'm' + chr(39), chr(39) + '{"speed": 1.0}' + chr(39)))}), 1, 12) AS key FROM documents")
+@query(f"SELECT doc_id, substr(sha256({' || '.join(f'encode({p}) || {_NUL}' for p in ('text', 'lang', 'source', chr(39) + 'r' + chr(39), chr(39) + 'm' + chr(39), chr(39) + '{"speed": 1.0}' + chr(39)))}), 1, 12) AS key FROM documents")
 def audition_keys(spark, d):
     settings = F.create_map(F.lit("speed"), F.lit(1.0))
     return load(spark, d, "documents").select("doc_id", identity.audition_key(F.col("text"), F.col("lang"), F.col("source"), F.lit("r"), F.lit("m"), settings).alias("key"))

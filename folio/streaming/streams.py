@@ -72,12 +72,14 @@ def transition_stream(events: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def available_now(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what its source holds; the result is a written table in the shared folder."""
+    """Run a stream over what its source holds; the result is a written table in the shared folder.
+
+    Each batch has a folder of its own, so a batch that is run again after a failure replaces what it wrote."""
     spark: SparkSession = stream.sparkSession
     out, checkpoint = shared_path(spark, "stream"), shared_path(spark, "stream-state")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={batch_id}")
 
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
