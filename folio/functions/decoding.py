@@ -89,7 +89,9 @@ def decode(files: DataFrame, raw: str = "content", override: str = "") -> DataFr
         bad = _decision(None, None, None, None, error=F.lit(f"not valid {override}"))
         return rows.withColumn("decoded", F.when(F.col("_text").isNotNull(), good).otherwise(bad)).drop("_bom", "_text")
     marked = F.coalesce(*(F.when(F.col("_bom") == e, strict_decoder(e)(F.when(F.col("_bom") == e, content))) for e in ("utf-8-sig", "utf-16", "utf-32")))
-    utf8 = nfc(F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")))
+    is_ascii = ~content.cast("string").rlike(r"[^\x00-\x7F]")
+    # ASCII is its own composed form: only what lies beyond goes to Python
+    utf8 = F.when(is_ascii, content.cast("string")).otherwise(nfc(F.when(~is_ascii & F.is_valid_utf8(content.cast("string")), content.cast("string"))))
     rows = rows.withColumn("_marked", marked).withColumn("_utf8", utf8)
     legacy = F.col("_marked").isNull() & F.col("_utf8").isNull()
     rows = rows.withColumns({f"_{k}": strict_decoder(e)(F.when(legacy, content)) for k, e in enumerate(LEGACY)})
@@ -103,7 +105,6 @@ def decode(files: DataFrame, raw: str = "content", override: str = "") -> DataFr
     same = F.transform(F.filter("_c", lambda x: x["text"] == best["text"]), lambda x: x["encoding"])
     reasons = F.filter(F.array(F.when(F.size(rivals) > 0, "another table reads as well"), F.when(-best["cost"] < POOR_QUALITY, "poor text")), lambda x: x.isNotNull())
     warnings = F.when(F.col("_bom").isNotNull(), F.array(F.concat(F.lit("mark says "), F.col("_bom")))).otherwise(F.array().cast("array<string>"))
-    is_ascii = ~content.cast("string").rlike(r"[^\x00-\x7F]")
     plain = F.when(is_ascii, _decision(F.col("_utf8"), F.lit("utf-8"), F.lit("ascii"), None, equivalent=F.array(F.lit("utf-8"), *(F.lit(e) for e in LEGACY)), warnings=warnings)).otherwise(_decision(F.col("_utf8"), F.lit("utf-8"), F.lit("utf-8"), None, warnings=warnings))
     chosen = _decision(best["text"], best["encoding"], F.lit("quality"), -best["cost"], equivalent=same, warnings=warnings, review=F.size(reasons) > 0, reasons=reasons)
     none = _decision(None, None, None, None, warnings=warnings, error=F.lit("no table reads it"))

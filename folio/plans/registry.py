@@ -30,4 +30,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from folio.plans import books, fragments, more, queue, streams, texts  # noqa: E402, F401
+from folio.plans import books, fragments, more, queue, sources, streams, texts  # noqa: E402, F401
