@@ -1,16 +1,18 @@
 r"""Line dedup by site-relative frequency (operator 2).
 
 Pages are grouped by host. A line's frequency at a site is the number of the host's pages that contain it over
-the number of the host's pages; lines above `ratio`, on at least `min_pages` pages, are boilerplate and are
-dropped from every page of that host. Lines are the page's text between block tags, trimmed, without scripts,
+the number of the host's pages; lines above `ratio` are boilerplate and are dropped from every page of that host.
+A line of one page alone stays (`min_pages` = 2): on a host of one page every line has the frequency 1, and the
+page would lose its whole text. Lines are the page's text between block tags, trimmed, without scripts,
 styles, comments and other tags; empty lines do not count.
 
 Each page contributes a line once, counts are summed before they are dealt, and a host's boilerplate holds at
-most (mean lines of its pages) / ratio lines, so it stays one row per host however many pages the host has.
+most (mean lines of its pages) / ratio lines, so it stays one row per host however many pages the host has. Hosts of
+many pages are not dealt by host before that: their totals, a bounded number of rows, are broadcast.
 
 Defined results: a url without a host, or a null url, belongs to the host of empty name; null html has no lines
 and an empty text; of repeated rows each counts as a page; an empty table gives no rows; extra columns are
-ignored; a page whose lines all go keeps an empty text.
+ignored; a page whose lines all go keeps an empty text; a null page_id is kept as it is.
 """
 
 from __future__ import annotations
@@ -46,14 +48,15 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = 0.5, min_pages: int = 3) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = 0.5, min_pages: int = 2) -> DataFrame:
     """Each page of pages (page_id, url, html): page_id, host, n_lines, n_dropped, text."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines"))
     rows = common.materialize(rows, "lines")
-    totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    totals = common.materialize(rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "totals")
+    bound = common.hub_bound(totals.agg(F.sum("pages")).first()[0] or 0)
     each = rows.select("host", F.explode(F.array_distinct(F.transform("lines", line_key))).alias("line"))
     counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    frequent = counts.join(totals, "host").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
+    frequent = common.hub_join(counts, totals, "host", "pages", bound).filter(F.col("n") > F.lit(ratio) * F.col("pages"))
     boilerplate = common.materialize(frequent.groupBy("host").agg(F.collect_set("line").alias("common")), "boilerplate")
     size = boilerplate.agg(F.sum(F.size("common"))).first()[0] or 0
     if size <= BROADCAST_LINES:
@@ -84,7 +87,7 @@ WITH p AS (
 ), t AS (
   SELECT host, count(*) AS pages FROM p GROUP BY host
 ), f AS (
-  SELECT b.host, b.line FROM b JOIN t ON b.host = t.host WHERE n >= 3 AND n > 0.5 * pages
+  SELECT b.host, b.line FROM b JOIN t ON b.host = t.host WHERE n >= 2 AND n > 0.5 * pages
 ), k AS (
   SELECT e.r, string_agg(e.line, chr(10) ORDER BY pos) AS text, count(*) AS n
   FROM e LEFT JOIN f ON e.host = f.host AND e.line = f.line WHERE f.line IS NULL GROUP BY e.r

@@ -8,7 +8,7 @@ that length; ranks are counted within each written partition and shifted by the
 group of equal lengths meets in one task.
 
 Defined results: null text counts as empty (one piece, the end id); a text of any length is packed whole; rows
-that share a doc_id are packed each on its own; an empty table gives no pieces; extra columns are ignored.
+that share a doc_id, or have none, are packed each on its own; an empty table gives no pieces; extra columns are ignored.
 """
 
 from __future__ import annotations

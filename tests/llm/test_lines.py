@@ -19,7 +19,7 @@ PAGES = [
 
 def want():
     out = {(k, "site.example:80", 4 + k % 2, 2, f"page {k}\nown {k}" + ("\nhalf" if k % 2 else "")) for k in range(6)}
-    out |= {(10, "two.example", 2, 0, "Menu\na"), (11, "two.example", 2, 0, "Menu\nb"), (12, "", 0, 0, ""), (13, "", 0, 0, "")}
+    out |= {(10, "two.example", 2, 1, "a"), (11, "two.example", 2, 1, "b"), (12, "", 0, 0, ""), (13, "", 0, 0, "")}
     out |= {(14, "all.example", 1, 1, ""), (15, "all.example", 2, 2, ""), (16, "all.example", 1, 1, "")}
     return out | {(None, "long.example", 1, 0, ("word " * 60000).strip())}
 
@@ -31,5 +31,11 @@ def test_boilerplate(spark, monkeypatch, limit):
     assert len(got) == len(PAGES) and set(got) == want()
 
 
+def test_hubs_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lines.common, "hub_bound", lambda rows: 1)
+    got = [tuple(r) for r in lines.drop_boilerplate(spark.createDataFrame(PAGES, SCHEMA)).collect()]
+    assert len(got) == len(PAGES) and set(got) == want()
+
+
 def test_empty_table(spark):
     assert lines.drop_boilerplate(spark.createDataFrame([], SCHEMA)).count() == 0
