@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 next stage's docs. All but the last return the columns of documents: the quality classifier drops what it
 rejects, exact dedup keeps the owner of each text, the n-gram Jaccard join keeps the document of least doc_id
 of each component, and best-fit packing returns the pieces with their sequences.
+
+Defined results: a null text counts as empty in every stage and stays null in the rows that are kept; empty texts
+are scored like any other and are copies of one another; rows with a null doc_id are scored and packed, lose to any
+other id among copies, and are never near copies; repeated rows are copies, of which exact dedup keeps one; ties go
+to the smallest doc_id; texts are read whole, however long; an empty table gives no pieces; extra columns, null ones
+and any names included, come through all stages but the last, which returns pieces.
 """
 
 from __future__ import annotations
