@@ -1,7 +1,9 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_jaccard import brute as near_brute
 from tokenizers import Tokenizer
@@ -45,3 +47,39 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.materialize(stage(spark, docs, SF), "test")
     assert docs.count() == 0 and docs.agg(F.count("doc_id")).first()[0] == 0
+
+
+def test_edge_rows_through_every_stage(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns with dots and names used inside."""
+    prose = [r["text"] for r in common.table(spark, SF, "documents").join(common.table(spark, SF, "labels"), "doc_id").filter("quality = 1").orderBy("doc_id").limit(6).collect()]
+    long_ = " ".join(prose) * 40
+    rows = [
+        (1, prose[0], "en", None, 1, "x", 1),
+        (2, prose[0] + " \n", "en", "a", 2, None, None),  # a copy with more code points
+        (3, prose[1], None, "a", 3, "x", 1),
+        (3, prose[1], None, "a", 3, "x", 1),  # a repeated row
+        (4, prose[1] + " tail", "en", "a", 4, "x", 1),  # a near copy
+        (5, long_, "en", "a", None, "x", 1),
+        (None, prose[2], "en", "a", 5, "x", 1),
+        (None, None, None, None, None, None, None),
+        (6, "", "en", "a", 0, "x", 1),
+        (7, prose[3], "en", "a", 6, "x", 1),
+        (8, prose[3], "en", "a", 6, "x", 1),  # a tie
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, gid int")
+    model = quality.fit(common.table(spark, SF, "documents"), common.table(spark, SF, "labels"), common.crc_mod("doc_id", 3) != 1)
+    scores = model.scores(pa.array([r[1] or "" for r in rows]))
+    want = Counter(r for r, s in zip(rows, scores) if s >= 0.5)
+    good = common.materialize(quality.keep_good(docs, model), "test")
+    assert good.columns == docs.columns and Counter(map(tuple, good.collect())) == want
+    exact = common.materialize(corpus_pipeline.STAGES[1][1](spark, docs, SF), "test")
+    kept = list(map(tuple, exact.collect()))
+    assert exact.columns == docs.columns and len(kept) == 7
+    assert {(r[0], r[1]) for r in kept} == {(2, rows[1][1]), (3, prose[1]), (4, rows[4][1]), (5, long_), (None, prose[2]), (6, ""), (7, prose[3])}
+    near = common.materialize(corpus_pipeline.STAGES[2][1](spark, exact, SF), "test")
+    assert near.columns == docs.columns and Counter(map(tuple, near.collect())) == Counter(r for r in kept if r[0] != 4)
+    tokenizer, pieces = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), corpus_pipeline.STAGES[3][1](spark, near, SF).collect()
+    lengths = Counter()
+    for r in pieces:
+        lengths[r["doc_id"]] += r["length"]
+    assert lengths == {r[0]: len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in kept if r[0] != 4}
