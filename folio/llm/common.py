@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts, `[\x20\x09-\x0D]`: exactly what bytes.split() and bytes.translate() see here.
@@ -61,6 +61,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """materialize(), with aggregates of the rows that were gathered while they were written.
+
+    A task that is run again may be counted again, so these may steer the work but not enter results."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *(c.alias(k) for k, c in metrics.items())), name)
+    return table, seen.get
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver drop what finished plans hold; Spark's cleaner then deletes their shuffle files and broadcasts."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: What a Python worker keeps from task to task, by module: tables that only their own operator's tasks need.
 worker_caches: list[dict] = []
 

@@ -31,14 +31,15 @@ def _stars(edges: DataFrame, large: bool, bound: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the least node of its component. Rounds are written tables."""
     spark = edges.sparkSession
-    now, state = common.materialize(edges.select("u", "v").filter("u <> v").distinct(), "edges"), None
-    while True:
-        was, state = state, tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == was or not state[0]:
-            break
-        bound, read = common.hub_bound(2 * state[0]), common.made()[-1]
+    facts = {"n": F.count(F.lit(1)), "hash": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    now, state = common.measured(edges.select("u", "v").filter("u <> v").distinct(), "edges", **facts)
+    was = None
+    while state != was and state["n"]:
+        bound, read = common.hub_bound(2 * state["n"]), common.made()[-1]
         # both stars of a round are written: the second reads the first several times
-        now = common.materialize(_stars(common.materialize(_stars(now, True, bound), "stars"), False, bound), "edges")
+        stars = common.materialize(_stars(now, True, bound), "stars")
+        was, (now, state) = state, common.measured(_stars(stars, False, bound), "edges", **facts)
         common.release(spark, [read, common.made()[-2]])
+    common.collect_garbage(spark)
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

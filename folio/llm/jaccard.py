@@ -497,31 +497,30 @@ def _compared(members: DataFrame, queries: DataFrame, texts: DataFrame, percent:
     blocks, slices = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int"), F.ceil(F.col("asked") / BLOCK_QUERIES).cast("int")
     asked = queries.groupBy("key").agg(F.count(F.lit(1)).alias("asked"))
     parts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(asked, "key").select("key", "n", "asked", blocks.alias("blocks"), slices.alias("slices"))
-    parts = common.materialize(parts, "parts")
-    sums = parts.agg(F.sum("n"), F.sum("asked")).first()
-    shown = common.hub_join(members, parts, "key", "n", common.hub_bound(sums[0] or 0))
+    parts, sums = common.measured(parts, "parts", members=F.sum("n"), queries=F.sum("asked"))
+    shown = common.hub_join(members, parts, "key", "n", common.hub_bound(sums["members"] or 0))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     some = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
     shown = shown.select("key", some("blocks").alias("block"), each("slices").alias("slice"), F.lit(0).alias("kind"), "gid", "rid")
-    asking = common.hub_join(queries, parts, "key", "asked", common.hub_bound(sums[1] or 0))
+    asking = common.hub_join(queries, parts, "key", "asked", common.hub_bound(sums["queries"] or 0))
     asking = asking.select("key", each("blocks").alias("block"), some("slices").alias("slice"), F.lit(1).alias("kind"), "gid", "rid")
-    rows = common.materialize(shown.unionByName(asking), "opened")
-    dealt = rows.join(_texts_of(texts, rows), "rid").select("key", "block", "slice", "kind", "gid", "text").repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "kind", "gid")
+    rows, sums = common.measured(shown.unionByName(asking), "opened", n=F.count(F.lit(1)))
+    dealt = rows.join(_texts_of(texts, rows, sums["n"]), "rid").select("key", "block", "slice", "kind", "gid", "text").repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "kind", "gid")
     return common.materialize(dealt.mapInArrow(_compare(percent), EDGES).distinct(), "links")
 
 
-def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rid, text) of the rows that a written table names."""
+def _texts_of(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(rid, text) of the rows that a written table of n rows names."""
     ids = wanted.select("rid").distinct()
-    if wanted.count() <= BROADCAST_ROWS:
+    if n <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     return texts.select("rid", "text").join(ids, "rid", "left_semi")
 
 
 def _linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, rid_a, rid_b), the (a, b) whose whole sets link."""
-    pairs = common.materialize(pairs, "pairs")
-    some = _texts_of(texts, pairs.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")))
+    pairs, sums = common.measured(pairs, "pairs", n=F.count(F.lit(1)))
+    some = _texts_of(texts, pairs.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")), 2 * sums["n"])
     left = pairs.join(some.withColumnsRenamed({"rid": "rid_a", "text": "text_a"}), "rid_a")
     both = left.join(some.withColumnsRenamed({"rid": "rid_b", "text": "text_b"}), "rid_b")
     return common.materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent), "a long, b long"), "links")
@@ -530,11 +529,11 @@ def _linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame
 def jaccard_components(docs: DataFrame, percent: int = 75, bucket_tokens: int = 750_000, frequent_from: int = 12, tries: int = 8) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id. A bucket of the matrix holds about `bucket_tokens` cells."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    texts = common.materialize(rows.mapInArrow(_sign, TEXTS), "texts")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    texts, sums = common.measured(rows.mapInArrow(_sign, TEXTS), "texts", prefixes=F.sum(prefix))
     frequent, places = _frequent(texts, frequent_from)
     real = texts.filter("rid IS NOT NULL")
-    prefixes = real.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
-    buckets = max(1, -(-int(prefixes) // bucket_tokens))
+    buckets = max(1, -(-int(sums["prefixes"] or 0) // bucket_tokens))
     dealt = real.select("rid", "doc_id", "n", "gk", "text").repartitionByRange("gk", "n", "rid").sortWithinPartitions("gk", "n", "rid")
     grouped = common.materialize(dealt.mapInArrow(_group(frequent, places, buckets, percent, tries), GROUPED), "groups")
     members = grouped.filter("kind = 0").select("rid", "doc_id", "n", "cid", "gid", "leader", "last")
@@ -558,22 +557,23 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket_tokens: int =
     # each with the central class that it meets most
     best = near.groupBy("q").agg(F.max_by("s", F.struct("shared", "s")).alias("s"))
     here, there = (family.select(F.col("cid").alias(c), F.col("gid").alias(g), F.col("rid").alias(r)) for c, g, r in (("q", "a", "rid_a"), ("s", "b", "rid_b")))
-    best = common.materialize(best.join(here, "q"), "best")
+    best, sums = common.measured(best.join(here, "q"), "best", n=F.count(F.lit(1)))
     there = common.materialize(there.join(best.groupBy("s").agg(F.count(F.lit(1)).alias("near")), "s"), "central")
-    first = common.hub_join(best, there, "s", "near", common.hub_bound(best.count())).filter("a <> b").select("a", "b", "rid_a", "rid_b")
+    first = common.hub_join(best, there, "s", "near", common.hub_bound(sums["n"])).filter("a <> b").select("a", "b", "rid_a", "rid_b")
     met = _linked_pairs(first, texts, percent).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     # and those outside the family's largest part with all of it
     parts = family.join(components(met).select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("part", F.coalesce("root", "gid"))
-    parts = common.materialize(parts.select(F.col("family").alias("key"), "part", "gid", "rid"), "parts")
+    parts, sums = common.measured(parts.select(F.col("family").alias("key"), "part", "gid", "rid"), "parts", n=F.count(F.lit(1)))
     largest = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum("n").alias("size"))
-    apart = common.hub_join(parts, largest, "key", "size", common.hub_bound(parts.count())).filter("part <> largest").select("key", "gid", "rid")
+    apart = common.hub_join(parts, largest, "key", "size", common.hub_bound(sums["n"])).filter("part <> largest").select("key", "gid", "rid")
+    common.collect_garbage(docs.sparkSession)
     edges = common.materialize(met.unionByName(_compared(parts.select("key", "gid", "rid"), apart, texts, percent)), "edges")
     roots = common.materialize(components(edges), "roots")
 
     # second reading, with the groups of a component as one, and without classes that share no token
     of_group = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("classes")).join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left")
-    of_group = common.materialize(of_group.select("gid", "classes", F.coalesce("root", "gid").alias("root")), "rooted")
-    bound = common.hub_bound(of_group.agg(F.sum("classes")).first()[0] or 0)
+    of_group, sums = common.measured(of_group.select("gid", "classes", F.coalesce("root", "gid").alias("root")), "rooted", classes=F.sum("classes"))
+    bound = common.hub_bound(sums["classes"] or 0)
     rooted = common.materialize(common.hub_join(classes, of_group, "gid", "classes", bound).drop("classes"), "rooted")
     some = rooted.join(shares.select("cid", "shares"), "cid").join(family.select("cid", "family"), "cid", "left").withColumn("family", F.coalesce("family", "cid"))
     some = common.materialize(some.select("cid", "root", "last", "shares", "family"), "sharing")
@@ -589,16 +589,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket_tokens: int =
     edges = edges.unionByName(_compared(inside, asked, texts, percent))
     # rows that share a doc_id are one node
     grouped_rows = members.filter("gid IS NOT NULL").select("doc_id", "gid", F.col("n").cast("long").alias("n_shingles"))
-    named = common.materialize(grouped_rows.groupBy("gid").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("rows")), "named")
-    bound = common.hub_bound(named.agg(F.sum("rows")).first()[0] or 0)
+    named, sums = common.measured(grouped_rows.groupBy("gid").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("rows")), "named", rows=F.sum("rows"))
+    bound = common.hub_bound(sums["rows"] or 0)
     pairs = grouped_rows.groupBy("doc_id", "gid").agg(F.count(F.lit(1)).alias("rows"))
     several = common.materialize(pairs.groupBy("doc_id").agg(F.min("gid").alias("u"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "several")
     edges = edges.unionByName(common.hub_join(pairs, several, "doc_id", "size", bound).select("u", F.col("gid").alias("v")))
     # groups go by the least doc_id of their rows: the root of a component is then its least document, and no
     # component meets in one task to find it
-    ends = common.materialize(edges.select("u", "v"), "ends")
+    ends, sums = common.measured(edges.select("u", "v"), "ends", n=F.count(F.lit(1)))
     degree = ends.select(F.explode(F.array("u", "v")).alias("gid")).groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
-    least, many = common.materialize(named.select("gid", "d").join(degree, "gid"), "ends"), common.hub_bound(2 * ends.count())
+    least, many = common.materialize(named.select("gid", "d").join(degree, "gid"), "ends"), common.hub_bound(2 * sums["n"])
     for end in ("u", "v"):
         ends = common.hub_join(ends, least.withColumnsRenamed({"gid": end, "d": f"d_{end}"}), end, "size", many).drop("size")
     roots = common.materialize(components(ends.select(F.col("d_u").alias("u"), F.col("d_v").alias("v"))), "roots")
