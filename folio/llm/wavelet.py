@@ -2,7 +2,9 @@
 
 `write_shards` encodes every whole text, appends an end id, cuts the token sequence (documents in ascending
 doc_id order) into shards of whole documents and stores one compressed file image per shard. `WaveletMatrix`
-opens such an image and answers access, rank, select and count; `read_shards` reads all shards back.
+opens such an image and answers access, rank, select and count; bit-planes are compressed in frames of FRAME bytes
+behind a table of their places, so that a look-up opens a frame or two of each plane. `read_shards` reads all shards
+back.
 
 Defined results: null text counts as empty (the document is its end id alone); rows with a null doc_id come
 first; rows that share a doc_id are ordered by a hash of their text and each keeps its own entry; an empty
@@ -24,8 +26,11 @@ from pyspark.sql import functions as F
 from folio.llm import common
 from folio.llm.tokens import encoder
 
-MAGIC = b"FWM1"
+MAGIC = b"FWM2"
 RANK_BITS = 512  # a rank sample for each so many bits of a plane
+FRAME = 1 << 14  # bytes of a plane that are compressed together, a multiple of those between rank samples
+#: Writing tasks up to whose number their rows are broadcast, 12 bytes each; beyond, a shuffle join.
+BROADCAST_ROWS = 400_000
 
 SHARD_SCHEMA = "part int, shard int, before long, n_docs long, n_tokens long, image binary"
 READ_SCHEMA = "doc_id long, start long, ids binary"
@@ -44,22 +49,36 @@ class WaveletMatrix:
             blobs.append(image[at + 8 : at + 8 + size])
             at += 8 + size
         self._blobs = blobs
-        self._open: dict[int, np.ndarray] = {}
+        self._open: dict = {}
         self.zeros = np.frombuffer(self._raw(2), np.int64)
 
     def _raw(self, k: int) -> bytes:
         return zstandard.ZstdDecompressor().decompress(self._blobs[k])
 
+    def _frames(self, level: int) -> tuple[np.ndarray, bytes]:
+        """Where a plane's frames end, and the frames."""
+        blob = self._blobs[3 + 2 * level]
+        (n,) = struct.unpack_from("<I", blob)
+        return np.frombuffer(blob, "<u4", n, 4), blob[4 + 4 * n :]
+
+    def _piece(self, level: int, at: int, end: int) -> np.ndarray:
+        """Bytes of a plane that lie in one frame, decompressed on first use."""
+        k = at // FRAME
+        if (level, k) not in self._open:
+            ends, frames = self._frames(level)
+            self._open[level, k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(frames[int(ends[k - 1]) if k else 0 : int(ends[k])]), np.uint8)
+        return self._open[level, k][at - k * FRAME : end - k * FRAME]
+
     def _plane(self, level: int) -> np.ndarray:
-        """The packed bits of a plane, decompressed on first use."""
-        if level not in self._open:
-            self._open[level] = np.frombuffer(self._raw(3 + 2 * level), np.uint8)
-        return self._open[level]
+        """All bytes of a plane."""
+        ends, frames = self._frames(level)
+        unpack = zstandard.ZstdDecompressor().decompress
+        return np.frombuffer(b"".join(unpack(frames[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())), np.uint8)
 
     def _samples(self, level: int) -> np.ndarray:
-        if -1 - level not in self._open:
-            self._open[-1 - level] = np.frombuffer(self._raw(4 + 2 * level), np.uint32)
-        return self._open[-1 - level]
+        if level not in self._open:
+            self._open[level] = np.frombuffer(self._raw(4 + 2 * level), np.uint32)
+        return self._open[level]
 
     @property
     def doc_ids(self) -> list[int | None]:
@@ -92,19 +111,23 @@ class WaveletMatrix:
             low = np.compress(~bit, a)
             zeros[level] = len(low)
             a = np.concatenate([low, np.compress(bit, a)])
-            blobs += [pack(packed.tobytes()), pack(samples.tobytes())]
+            frames = [pack(packed[k : k + FRAME].tobytes()) for k in range(0, len(packed), FRAME)]
+            blobs += [struct.pack("<I", len(frames)) + np.cumsum([len(f) for f in frames]).astype("<u4").tobytes() + b"".join(frames), pack(samples.tobytes())]
         blobs = [pack(nulls.tobytes() + values.tobytes()), pack(np.asarray(lengths, np.int64).tobytes()), pack(zeros.tobytes()), *blobs]
         return MAGIC + struct.pack("<BQQ", levels, n, len(doc_ids)) + b"".join(struct.pack("<Q", len(b)) + b for b in blobs)
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self._plane(level)[i >> 3] >> (i & 7)) & 1
+        return int(self._piece(level, i >> 3, (i >> 3) + 1)[0] >> (i & 7)) & 1
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        block = i // RANK_BITS
-        got, plane, at = int(self._samples(level)[block]), self._plane(level), block * RANK_BITS >> 3
-        got += int(np.bitwise_count(plane[at : i >> 3]).sum())
-        return got + (int(plane[i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+        block, left = divmod(i, RANK_BITS)
+        got, at = int(self._samples(level)[block]), block * RANK_BITS >> 3
+        if not left:
+            return got
+        piece = self._piece(level, at, (i + 7) >> 3)
+        got += int(np.bitwise_count(piece[: left >> 3]).sum())
+        return got + (int(piece[left >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
 
     def access(self, i: int) -> int:
         """The symbol at position i."""
@@ -152,7 +175,7 @@ class WaveletMatrix:
             block = int(np.searchsorted(samples, want, "right")) - 1
             block = min(block, len(samples) - 2)
             at = block * RANK_BITS
-            bits = np.unpackbits(self._plane(level)[at >> 3 : (at + RANK_BITS) >> 3], bitorder="little")[: self.n - at]
+            bits = np.unpackbits(self._piece(level, at >> 3, (at + RANK_BITS) >> 3), bitorder="little")[: self.n - at]
             i = at + int(np.flatnonzero(bits == one)[want - int(samples[block])])
         return i
 
@@ -240,7 +263,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     # one row for each partition that wrote, whatever the number of documents
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     base = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    rows = shards.select("part", "before", "image").join(F.broadcast(base), "part")
+    rows = shards.select("part", "before", "image").join(F.broadcast(base) if totals.count() <= BROADCAST_ROWS else base, "part")
     return rows.select((F.col("base") + F.col("before")).alias("base"), "image").mapInArrow(_decode, READ_SCHEMA)
 
 

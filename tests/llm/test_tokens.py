@@ -82,6 +82,17 @@ def test_wavelet_access_rank_select():
             m.access(n)
 
 
+def test_a_look_up_opens_a_frame_or_two_of_each_plane():
+    a = np.random.default_rng(4).integers(0, 49408, 600_000)
+    image = wavelet.WaveletMatrix.image(a, [1], np.array([len(a)]))
+    for i in (0, 131_071, 131_072, 400_001, 599_999):
+        m = wavelet.WaveletMatrix(image)
+        assert m.access(i) == a[i] and sum(isinstance(k, tuple) for k in m._open) <= 2 * m.levels
+        assert m.rank(int(a[i]), i) == int((a[:i] == a[i]).sum()) and m.select(int(a[i]), int((a[:i] == a[i]).sum())) == i
+        assert m.count(int(a[i])) == int((a == a[i]).sum())
+    assert (m.symbols() == a).all()
+
+
 @pytest.mark.parametrize("shard_tokens", [7, 1 << 20])
 def test_shards_read_back(spark, tmp_path, shard_tokens):
     path = str(tmp_path / "shards")
