@@ -65,7 +65,7 @@ def _cut(path: str, end_id: int, capacity: int, read_bytes: int, literal: bool):
     return run
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, read_bytes: int = 8_000_000, literal: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, read_bytes: int = 4_000_000, literal: bool = False) -> DataFrame:
     """Encoded pieces of docs (doc_id, text), written to the shared folder so that ranks stay as they were counted.
 
     `literal`: strings of added tokens in a text are ordinary text and not that token."""

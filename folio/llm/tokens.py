@@ -94,19 +94,19 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = self.literal
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        model, added = file["model"], file.get("added_tokens") or []
-        stated = tuple(_untrimmed(file.get(k)) for k in ("normalizer", "pre_tokenizer"))
+        model, added = self.tokenizer.model, list(self.tokenizer.get_added_tokens_decoder().values())
+        parts = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        # the parts state themselves; the file as a whole would be tens of MB of objects in every worker
+        stated = tuple(_untrimmed(json.loads(p.__getstate__())) if p is not None else None for p in parts)
         self.cuts = (
             stated == _RELIED_ON[self.spaced]
-            and model.get("type") == "BPE"
-            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix"))
-            and not any(file.get(k) for k in ("truncation", "padding"))
-            and not any(t.get("normalized") or self.literal and not t.get("special") for t in added)
+            and type(model).__name__ == "BPE"
+            and not any(getattr(model, k) for k in ("dropout", "continuing_subword_prefix"))
+            and not any(getattr(self.tokenizer, k) for k in ("truncation", "padding"))
+            and not any(t.normalized or self.literal and not t.special for t in added)
         )
         if not self.literal:
-            self.added = "|".join(re.escape(t["content"]) for t in added)
+            self.added = "|".join(re.escape(t.content) for t in added)
 
     def _reset(self) -> None:
         self.pieces: list[str] = []  # by row; those from `known` on are not encoded yet
