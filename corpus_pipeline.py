@@ -30,6 +30,7 @@ _left: dict[int, list[str]] = {}
 def _stage(k: int, work: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         common.release(spark, _left.pop(k - 1, []))
+        common.collect_garbage(spark)  # what the stages before have left in the driver
         before = set(common.made())
         out = work(spark, docs, sf_dir)
         _left[k] = [path for path in common.made() if path not in before]
