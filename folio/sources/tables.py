@@ -65,12 +65,14 @@ def read_dictionary(path: str) -> dict[str, str]:
     """SC-13: written to spoken form; a missing file is empty, a wrong shape raises."""
     import yaml
 
-    if not Path(path).exists():
-        return {}
-    raw = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
-    if not isinstance(raw, dict):
-        raise ValueError(f"{path} is no mapping of written to spoken forms")
-    return {str(k): str(v) for k, v in raw.items()}
+    try:
+        entries = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    except FileNotFoundError:
+        entries = None
+    match entries or {}:
+        case dict() as found:
+            return dict(map(lambda pair: (str(pair[0]), str(pair[1])), found.items()))
+    raise ValueError(f"{path} is no mapping of written to spoken forms")
 
 
 def read_overrides(path: str) -> dict[str, str]:
