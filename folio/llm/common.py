@@ -72,10 +72,17 @@ def measured(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, di
 
 def collect_garbage(spark: SparkSession) -> None:
     """Let the driver drop what finished plans hold; Spark's cleaner then deletes their shuffle files and broadcasts."""
-    gc.collect()
+    trim()
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give this process's unused memory back."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: What a Python worker keeps from task to task, by module: tables that only their own operator's tasks need.
 worker_caches: list[dict] = []
 
@@ -86,9 +93,7 @@ def free_worker(keep: dict | None = None) -> None:
     if left:
         for cache in left:
             cache.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # another C library
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
 
 def crc_mod(doc_id: str, n: int) -> Column:
@@ -116,11 +121,13 @@ def hub_bound(rows: int, least: int = 200) -> int:
     return max(least, -(-rows // HUBS))
 
 
-def hub_join(rows: DataFrame, facts: DataFrame, key: str, size: str, bound: int) -> DataFrame:
+def hub_join(rows: DataFrame, facts: DataFrame, key: str, size: str, bound: int, most: int | None = None) -> DataFrame:
     """rows joined with facts (one row a key; `size`: how many of the rows have it).
 
     Keys of more than `bound` rows are not dealt by key: their facts are broadcast. hub_bound() gives a bound that
-    keeps their number below HUBS whatever the input."""
+    keeps their number below HUBS whatever the input. `most`: the largest size, where it is known; there may be no hub."""
+    if most is not None and most <= bound:
+        return rows.join(facts, key)
     hubs = F.broadcast(facts.filter(F.col(size) > bound))
     rest = rows.join(hubs.select(key), key, "left_anti").join(facts.filter(F.col(size) <= bound), key)
     return rows.join(hubs, key).unionByName(rest)

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from folio.llm import common
 
 
-def _stars(edges: DataFrame, large: bool, bound: int) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, bound: int, most: int) -> DataFrame:
     """One round: each node's neighbours (larger ones, or those not larger) are linked to its least neighbour."""
     if large:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")).select("u", F.least("u", "m").alias("m"), "degree")
-    joined = common.hub_join(both, least, "u", "degree", bound)
+    joined = common.hub_join(both, least, "u", "degree", bound, most)
     if large:
         new = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -37,8 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     while state != was and state["n"]:
         bound, read = common.hub_bound(2 * state["n"]), common.made()[-1]
         # both stars of a round are written: the second reads the first several times
-        stars = common.materialize(_stars(now, True, bound), "stars")
-        was, (now, state) = state, common.measured(_stars(stars, False, bound), "edges", **facts)
+        stars = common.materialize(_stars(now, True, bound, 2 * state["n"]), "stars")
+        was, (now, state) = state, common.measured(_stars(stars, False, bound, 2 * state["n"]), "edges", **facts)
         common.release(spark, [read, common.made()[-2]])
     common.collect_garbage(spark)
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))

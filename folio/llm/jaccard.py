@@ -497,12 +497,12 @@ def _compared(members: DataFrame, queries: DataFrame, texts: DataFrame, percent:
     blocks, slices = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int"), F.ceil(F.col("asked") / BLOCK_QUERIES).cast("int")
     asked = queries.groupBy("key").agg(F.count(F.lit(1)).alias("asked"))
     parts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(asked, "key").select("key", "n", "asked", blocks.alias("blocks"), slices.alias("slices"))
-    parts, sums = common.measured(parts, "parts", members=F.sum("n"), queries=F.sum("asked"))
-    shown = common.hub_join(members, parts, "key", "n", common.hub_bound(sums["members"] or 0))
+    parts, sums = common.measured(parts, "parts", members=F.sum("n"), queries=F.sum("asked"), most=F.max("n"), most_asked=F.max("asked"))
+    shown = common.hub_join(members, parts, "key", "n", common.hub_bound(sums["members"] or 0), sums["most"] or 0)
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     some = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
     shown = shown.select("key", some("blocks").alias("block"), each("slices").alias("slice"), F.lit(0).alias("kind"), "gid", "rid")
-    asking = common.hub_join(queries, parts, "key", "asked", common.hub_bound(sums["queries"] or 0))
+    asking = common.hub_join(queries, parts, "key", "asked", common.hub_bound(sums["queries"] or 0), sums["most_asked"] or 0)
     asking = asking.select("key", each("blocks").alias("block"), some("slices").alias("slice"), F.lit(1).alias("kind"), "gid", "rid")
     rows, sums = common.measured(shown.unionByName(asking), "opened", n=F.count(F.lit(1)))
     dealt = rows.join(_texts_of(texts, rows, sums["n"]), "rid").select("key", "block", "slice", "kind", "gid", "text").repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "kind", "gid")
@@ -572,9 +572,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket_tokens: int =
 
     # second reading, with the groups of a component as one, and without classes that share no token
     of_group = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("classes")).join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left")
-    of_group, sums = common.measured(of_group.select("gid", "classes", F.coalesce("root", "gid").alias("root")), "rooted", classes=F.sum("classes"))
+    of_group, sums = common.measured(of_group.select("gid", "classes", F.coalesce("root", "gid").alias("root")), "rooted", classes=F.sum("classes"), most=F.max("classes"))
     bound = common.hub_bound(sums["classes"] or 0)
-    rooted = common.materialize(common.hub_join(classes, of_group, "gid", "classes", bound).drop("classes"), "rooted")
+    rooted = common.materialize(common.hub_join(classes, of_group, "gid", "classes", bound, sums["most"] or 0).drop("classes"), "rooted")
     some = rooted.join(shares.select("cid", "shares"), "cid").join(family.select("cid", "family"), "cid", "left").withColumn("family", F.coalesce("family", "cid"))
     some = common.materialize(some.select("cid", "root", "last", "shares", "family"), "sharing")
     whole = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("n").cast("long").alias("low"), F.max("n").cast("long").alias("high"), F.min("last").alias("last_low"), F.max("last").alias("last_high"))
@@ -589,7 +589,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket_tokens: int =
     edges = edges.unionByName(_compared(inside, asked, texts, percent))
     # rows that share a doc_id are one node
     grouped_rows = members.filter("gid IS NOT NULL").select("doc_id", "gid", F.col("n").cast("long").alias("n_shingles"))
-    named, sums = common.measured(grouped_rows.groupBy("gid").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("rows")), "named", rows=F.sum("rows"))
+    named, sums = common.measured(grouped_rows.groupBy("gid").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("rows")), "named", rows=F.sum("rows"), most=F.max("rows"))
+    most = sums["most"] or 0
     bound = common.hub_bound(sums["rows"] or 0)
     pairs = grouped_rows.groupBy("doc_id", "gid").agg(F.count(F.lit(1)).alias("rows"))
     several = common.materialize(pairs.groupBy("doc_id").agg(F.min("gid").alias("u"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "several")
@@ -603,7 +604,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket_tokens: int =
         ends = common.hub_join(ends, least.withColumnsRenamed({"gid": end, "d": f"d_{end}"}), end, "size", many).drop("size")
     roots = common.materialize(components(ends.select(F.col("d_u").alias("u"), F.col("d_v").alias("v"))), "roots")
     of_group = named.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").select("gid", "rows", F.coalesce("root", "d").alias("component_id"))
-    found = common.hub_join(grouped_rows, common.materialize(of_group, "named"), "gid", "rows", bound)
+    found = common.hub_join(grouped_rows, common.materialize(of_group, "named"), "gid", "rows", bound, most)
     alone = members.filter("gid IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 

@@ -181,7 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
     found = rows.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, letters long, words long, terms binary")
     got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "terms").limit(sample).toArrow()
     sizes = np.stack([got.column(c).to_numpy() for c in ("letters", "words")], 1)
-    return Model(Sample(got.column("terms").to_pylist(), sizes), got.column("quality").to_numpy(), **options)
+    model = Model(Sample(got.column("terms").to_pylist(), sizes), got.column("quality").to_numpy(), **options)
+    common.trim()
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
