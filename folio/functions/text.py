@@ -149,21 +149,35 @@ def comparison_tokens(c: Column) -> Column:
 def timestamp_label(seconds: Column) -> Column:
     """TX-11: HH:MM:SS.mmm, cut and not rounded."""
     whole = F.floor(seconds)
-    return F.format_string("%02d:%02d:%02d.%03d", F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60, F.floor((seconds - whole) * 1000))
+    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d:%02d.%03d", F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60, F.floor((seconds - whole) * 1000)))
 
 
 def duration_label(seconds: Column) -> Column:
     """TX-11: `2h 05m`, `3m 09s` or `7s`."""
     s = F.floor(seconds)
     h, m = F.floor(s / 3600), F.floor(s % 3600 / 60)
-    return F.when(h > 0, F.format_string("%dh %02dm", h, m)).when(m > 0, F.format_string("%dm %02ds", m, s % 60)).otherwise(F.format_string("%ds", s))
+    return F.when(h > 0, F.format_string("%dh %02dm", h, m)).when(m > 0, F.format_string("%dm %02ds", m, s % 60)).when(s.isNotNull(), F.format_string("%ds", s))
+
+
+def _tenths(x: Column) -> Column:
+    """10 * x as a whole number, rounded from x's exact value and half to even, as C's `%.1f` does; Java's rounds the
+    shortest decimal that reads as x, and half up."""
+    ten = 8 * x + 2 * x
+    lost = 2 * x - (ten - 8 * x)  # what the sum lost: both terms are exact
+    near = F.rint(ten)
+    return near + F.when((ten - near == 0.5) & (lost > 0), 1.0).when((ten - near == -0.5) & (lost < 0), -1.0).otherwise(0.0)
 
 
 def size_label(size: Column) -> Column:
     """TX-11: bytes as B, KB, MB or GB."""
     size = size.cast("double")
-    scaled = lambda k, unit: F.format_string(f"%.1f {unit}", size / 1024**k)
-    return F.when(size < 1024, F.format_string("%.0f B", size)).when(size < 1024**2, scaled(1, "KB")).when(size < 1024**3, scaled(2, "MB")).otherwise(scaled(3, "GB"))
+
+    def scaled(k: int, unit: str) -> Column:
+        tenths = _tenths(size / 1024**k)
+        return F.format_string(f"%.0f.%.0f {unit}", F.rint((tenths - tenths % 10) / 10), tenths % 10)
+
+    label = F.when(size < 1024, F.format_string("%.0f B", F.rint(size))).when(size < 1024**2, scaled(1, "KB")).when(size < 1024**3, scaled(2, "MB"))
+    return label.when(size.isNotNull(), scaled(3, "GB"))
 
 
 def metadata_value(c: Column) -> Column:

@@ -1,3 +1,5 @@
+import math
+import random
 import unicodedata
 
 import pytest
@@ -63,6 +65,18 @@ def test_names_and_escapes(spark):
     assert apply(spark, lambda c: tx.is_contained(F.lit("/data/books"), c), ["/data/books/a", "/data/booksx", "/data/books/../x"]) == [True, False, False]
 
 
+def test_labels_round_as_c_does(spark):
+    rng = random.Random(5)
+    sizes = [0.5, 1.5, 1023.5, None, 92416.0, 968960.0, 0.45 * 1024**2, *(k * 64.0 for k in range(16, 400)), *(round(rng.uniform(0, 1e10) / 10 ** rng.randrange(8), 2) for _ in range(2000))]
+    want = [None if x is None else f"{x:.0f} B" if x < 1024 else f"{x / 1024:.1f} KB" if x < 1024**2 else f"{x / 1024**2:.1f} MB" if x < 1024**3 else f"{x / 1024**3:.1f} GB" for x in sizes]
+    assert apply(spark, tx.size_label, sizes, "c double") == want
+    # sums that round to a half from either side
+    near = [y for k in range(1, 300) for y in (math.nextafter(k + 0.05, 0), k + 0.05, math.nextafter(k + 0.05, 1e9))]
+    assert apply(spark, tx.size_label, [x * 1024 for x in near], "c double") == [f"{x:.1f} KB" for x in near]
+    assert apply(spark, tx.timestamp_label, [None, 61.5], "c double") == [None, "00:01:01.500"]
+    assert apply(spark, tx.duration_label, [None, 61.5], "c double") == [None, "1m 01s"]
+
+
 def test_excerpt(spark):
     text = "a" * 100 + "WORD" + "b" * 100
     got = apply(spark, lambda c: tx.excerpt(c, F.lit(100), F.lit(104), 20), [text, "x WORD y"])
