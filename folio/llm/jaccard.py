@@ -52,8 +52,9 @@ FREQUENT = 1 << 17
 #: Members of a group that are opened together, and queries that they are compared with in a task: members' whole
 #: sets are held at once, and a group of any size spreads over tasks.
 BLOCK_MEMBERS = BLOCK_QUERIES = 128
-#: Candidate rows up to which their ids are broadcast, 8 bytes each; beyond, a shuffle join.
-BROADCAST_ROWS = 500_000
+#: Rows of the bitmap of candidates up to which it is broadcast, some hundred bytes each for up to 512 ids; beyond, a
+#: shuffle join. Ids are dense within a part, so that this is reached at some 16 million documents.
+BROADCAST_BLOCKS = 1 << 15
 
 
 def need(n, percent: int):
@@ -490,7 +491,7 @@ def _compare(percent: int, at_once: int = 128):
     return run
 
 
-def _compared(members: DataFrame, queries: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _compared(members: DataFrame, queries: DataFrame, texts: DataFrame, percent: int, blocks_: int) -> DataFrame:
     """Edges (u, v) between groups: of members (key, gid, rid) and queries (key, gid, rid) of the same key, compared in
     blocks of members, each with all the key's queries, slice by slice."""
     members, queries = common.materialize(members, "members"), common.materialize(queries, "queries")
@@ -505,22 +506,28 @@ def _compared(members: DataFrame, queries: DataFrame, texts: DataFrame, percent:
     asking = common.hub_join(queries, parts, "key", "asked", common.hub_bound(sums["queries"] or 0), sums["most_asked"] or 0)
     asking = asking.select("key", each("blocks").alias("block"), some("slices").alias("slice"), F.lit(1).alias("kind"), "gid", "rid")
     rows, sums = common.measured(shown.unionByName(asking), "opened", n=F.count(F.lit(1)))
-    dealt = rows.join(_texts_of(texts, rows, sums["n"]), "rid").select("key", "block", "slice", "kind", "gid", "text").repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "kind", "gid")
+    dealt = rows.join(_texts_of(texts, rows, sums["n"], blocks_), "rid").select("key", "block", "slice", "kind", "gid", "text").repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice", "kind", "gid")
     return common.materialize(dealt.mapInArrow(_compare(percent), EDGES).distinct(), "links")
 
 
-def _texts_of(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(rid, text) of the rows that a written table of n rows names."""
-    ids = wanted.select("rid").distinct()
-    if n <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return texts.select("rid", "text").join(ids, "rid", "left_semi")
+def _texts_of(texts: DataFrame, wanted: DataFrame, n: int, blocks: int) -> DataFrame:
+    """(rid, text) of the rows that a written table of n rows names; `blocks`: how many blocks of 512 ids texts has."""
+    rows, ids = texts.select("rid", "text"), wanted.select("rid").distinct()
+    if min(n, blocks) > BROADCAST_BLOCKS:
+        return rows.join(ids, "rid", "left_semi")
+    # the driver holds a bit for an id and not the id: a word of 64 ids, eight of them a row
+    word, bit = F.shiftright("rid", 6).bitwiseAND(F.lit(7)), F.expr("shiftleft(1L, CAST(rid & 63 AS INT))")
+    words = (F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(8))
+    bitmap = F.broadcast(ids.filter("rid IS NOT NULL").groupBy(F.shiftright("rid", 9).alias("block")).agg(*words))
+    mine = F.element_at(F.array(*(F.col(f"w{k}") for k in range(8))), word.cast("int") + 1)
+    there = (F.shiftright("rid", 9) == F.col("block")) & (F.getbit(mine, F.col("rid").bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return rows.join(bitmap, there, "left_semi")
 
 
-def _linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int, blocks: int) -> DataFrame:
     """Of pairs (a, b, rid_a, rid_b), the (a, b) whose whole sets link."""
     pairs, sums = common.measured(pairs, "pairs", n=F.count(F.lit(1)))
-    some = _texts_of(texts, pairs.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")), 2 * sums["n"])
+    some = _texts_of(texts, pairs.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")), 2 * sums["n"], blocks)
     left = pairs.join(some.withColumnsRenamed({"rid": "rid_a", "text": "text_a"}), "rid_a")
     both = left.join(some.withColumnsRenamed({"rid": "rid_b", "text": "text_b"}), "rid_b")
     return common.materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent), "a long, b long"), "links")
@@ -530,7 +537,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket_tokens: int =
     """A row per document: doc_id, n_shingles, component_id. A bucket of the matrix holds about `bucket_tokens` cells."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    texts, sums = common.measured(rows.mapInArrow(_sign, TEXTS), "texts", prefixes=F.sum(prefix))
+    texts, sums = common.measured(rows.mapInArrow(_sign, TEXTS), "texts", prefixes=F.sum(prefix), rows=F.count("rid"), parts=F.max(F.shiftright("rid", 32)))
+    blocks = (sums["rows"] or 0) // 512 + (sums["parts"] or 0) + 1
     frequent, places = _frequent(texts, frequent_from)
     real = texts.filter("rid IS NOT NULL")
     buckets = max(1, -(-int(sums["prefixes"] or 0) // bucket_tokens))
@@ -560,15 +568,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket_tokens: int =
     best, sums = common.measured(best.join(here, "q"), "best", n=F.count(F.lit(1)))
     there = common.materialize(there.join(best.groupBy("s").agg(F.count(F.lit(1)).alias("near")), "s"), "central")
     first = common.hub_join(best, there, "s", "near", common.hub_bound(sums["n"])).filter("a <> b").select("a", "b", "rid_a", "rid_b")
-    met = _linked_pairs(first, texts, percent).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    met = _linked_pairs(first, texts, percent, blocks).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
     # and those outside the family's largest part with all of it
     parts = family.join(components(met).select(F.col("node").alias("gid"), "root"), "gid", "left").withColumn("part", F.coalesce("root", "gid"))
     parts, sums = common.measured(parts.select(F.col("family").alias("key"), "part", "gid", "rid"), "parts", n=F.count(F.lit(1)))
     largest = parts.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum("n").alias("size"))
     apart = common.hub_join(parts, largest, "key", "size", common.hub_bound(sums["n"])).filter("part <> largest").select("key", "gid", "rid")
     common.collect_garbage(docs.sparkSession)
-    edges = common.materialize(met.unionByName(_compared(parts.select("key", "gid", "rid"), apart, texts, percent)), "edges")
+    edges = common.materialize(met.unionByName(_compared(parts.select("key", "gid", "rid"), apart, texts, percent, blocks)), "edges")
     roots = common.materialize(components(edges), "roots")
+    common.collect_garbage(docs.sparkSession)
 
     # second reading, with the groups of a component as one, and without classes that share no token
     of_group = classes.groupBy("gid").agg(F.count(F.lit(1)).alias("classes")).join(roots.select(F.col("node").alias("gid"), "root"), "gid", "left")
@@ -586,7 +595,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket_tokens: int =
     open_ = shared.filter(can_link(*(F.col(c) for c in ("shared", "nq", "last", "low", "high", "last_low", "last_high")), percent))
     asked = open_.join(classes.select(F.col("cid").alias("q"), "gid", "rid"), "q").select(F.col("g").alias("key"), "gid", "rid")
     inside = rooted.select(F.col("root").alias("key"), "gid", "rid")
-    edges = edges.unionByName(_compared(inside, asked, texts, percent))
+    edges = edges.unionByName(_compared(inside, asked, texts, percent, blocks))
     # rows that share a doc_id are one node
     grouped_rows = members.filter("gid IS NOT NULL").select("doc_id", "gid", F.col("n").cast("long").alias("n_shingles"))
     named, sums = common.measured(grouped_rows.groupBy("gid").agg(F.min("doc_id").alias("d"), F.count(F.lit(1)).alias("rows")), "named", rows=F.sum("rows"), most=F.max("rows"))

@@ -137,3 +137,18 @@ def test_blocks_and_slices_change_nothing(spark, monkeypatch):
     data = rows(8)
     got = jaccard.jaccard_components(spark.createDataFrame(data, SCHEMA).repartition(3)).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(data)
+
+
+@pytest.mark.parametrize("blocks", [4, 1 << 30])
+def test_texts_of_candidates(spark, blocks):
+    """Candidates' texts by bitmap and by shuffle; the driver gets a row for 512 ids and not one for each id."""
+    from folio.llm.jaccard import _texts_of
+
+    ids = [(p << 32) + k for p in (0, 1, 2**30) for k in range(3000)] + [None]
+    texts = spark.createDataFrame([(r, f"t{r}") for r in ids], "rid long, text string")
+    want = [r for r in ids if r is not None and (r % 7 == 0 or r & 63 == 63)]
+    wanted = spark.createDataFrame([(r,) for r in want * 2 + [None]], "rid long")
+    found = _texts_of(texts, wanted, 1 << 30, blocks)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((r, f"t{r}") for r in want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastExchange" in plan and "block" in plan) == (blocks == 4)
