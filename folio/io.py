@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +27,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
             current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get()
     return f"{base.rstrip('/')}/folio-{name}-{uuid.uuid4().hex}"
+
+
+def in_pieces(rows: Iterable, made: Callable, kind: pa.DataType, limit: int = 1_000_000) -> pa.Array:
+    """made(row) of each row as one array; of what is made, only about `limit` bytes or characters stand as Python
+    objects at a time. made gives a value and its size."""
+    done, values, held = [], [], 0
+    for row in rows:
+        value, size = made(row)
+        values.append(value)
+        held += size
+        if held > limit:
+            done.append(pa.array(values, kind))
+            values, held = [], 0
+    return pa.concat_arrays([*done, pa.array(values, kind)])
+
+
+def byte_slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch without a copy, of about `limit` bytes of the string column each, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+    start = held = 0
+    for k, size in enumerate(sizes):
+        if k > start and held + size > limit:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += size
+    if len(sizes) > start:
+        yield batch.slice(start)
