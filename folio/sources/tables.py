@@ -44,8 +44,10 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """SC-12: of each id the fingerprint written last. Places are byte order within the file, so one file is one split."""
-    rows = _lines(spark, path).withColumn("place", F.monotonically_increasing_id())
+    """SC-12: of each id the fingerprint written last: in a folder that of the last file by name, in a file the last by
+    place. A file may be read in several splits: rows of one split go up in a task, and splits go by where they begin."""
+    text = spark.read.text(path).select(F.col("value").alias("line"), F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("place"))
+    rows = text.filter(F.trim("line") != "")
     parsed = rows.select("place", F.from_json("line", LEDGER).alias("r")).filter("r.id IS NOT NULL")
     return parsed.groupBy("r.id").agg(F.max_by("r.fingerprint", "place").alias("fingerprint"))
 
