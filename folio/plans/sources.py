@@ -7,12 +7,13 @@ import io
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folio.functions import decoding
-from folio.io import load, shared_path
+from folio.io import in_pieces, load, shared_path
 from folio.plans.registry import query
 from folio.plans.texts import PARAGRAPHS
 from folio.sources import books, tables
@@ -28,9 +29,13 @@ def _page(doc_id: int, text: str) -> str:
     return f"<html><head><title>no text</title><style>p {{}}</style></head><body>{title}<script>hidden()</script>{lines}<table><tr><td>hidden</td></tr></table></body></html>"
 
 
-@F.pandas_udf(T.StringType())
-def _pages(doc_id: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([_page(d, t or "") for d, t in zip(doc_id, text)])
+@F.arrow_udf(T.StringType())
+def _pages(doc_id: pa.Array, text: pa.Array) -> pa.Array:
+    def made(row: tuple) -> tuple[str, int]:
+        page = _page(row[0].as_py(), row[1].as_py() or "")
+        return page, len(page)
+
+    return in_pieces(zip(doc_id, text), made, pa.string())
 
 
 @query(_LINES)

@@ -18,6 +18,7 @@ from pyspark.sql.functions import arrow_udf
 
 from folio.functions import decoding
 from folio.functions import text as tx
+from folio.io import in_pieces
 
 # Suffixes that can be read, names of navigation documents, and when an extracted document is suspect.
 SUFFIXES = (".txt", ".epub")
@@ -74,18 +75,22 @@ class _Blocks(HTMLParser):
 @arrow_udf(T.StructType().add("title", "string").add("blocks", T.ArrayType(T.StringType())).add("body", "string"))
 def html_blocks(pages: pa.Array) -> pa.Array:
     """SC-05: the first heading, the text of outermost paragraphs, quotations and list items, and all text."""
-    out = []
-    for page in pages.to_pylist():
-        parser = _Blocks()
-        parser.feed(page or "")
+
+    def parsed(page: pa.Scalar) -> tuple[dict, int]:
+        parser, text = _Blocks(), page.as_py() or ""
+        parser.feed(text)
         parser.close()
-        out.append({"title": parser.title, "blocks": ["".join(b) for b in parser.blocks], "body": "".join(parser.body)})
-    return pa.array(out, pa.struct([("title", pa.string()), ("blocks", pa.list_(pa.string())), ("body", pa.string())]))
+        return {"title": parser.title, "blocks": ["".join(b) for b in parser.blocks], "body": "".join(parser.body)}, len(text)
+
+    return in_pieces(pages, parsed, pa.struct([("title", pa.string()), ("blocks", pa.list_(pa.string())), ("body", pa.string())]))
 
 
 def html_paragraphs(html: Column, footnotes: bool = True) -> Column:
     """SC-05: normalised paragraphs of a document; without any block, its text between blank lines."""
-    found = html_blocks(html)
+    return _paragraphs_of(html_blocks(html), footnotes)
+
+
+def _paragraphs_of(found: Column, footnotes: bool) -> Column:
     blocks = F.filter(F.transform(found["blocks"], lambda b: tx.normalise(b, footnotes)), lambda b: F.length(b) > 1)
     return F.when(F.size(found["blocks"]) > 0, blocks).otherwise(tx.paragraphs(found["body"], footnotes))
 
@@ -171,7 +176,7 @@ def epub_chapters(items: DataFrame, strip_front_matter: bool = True, strip_footn
     docs = items.filter(F.col("kind").contains("html") & ~is_navigation(F.col("item"), F.col("properties")))
     read = decoding.decode(docs).withColumn("html", F.coalesce("decoded.text", F.lit("")))
     rows = read.withColumn("found", html_blocks("html"))
-    rows = rows.select("book", "item", spine_order(F.col("spine"), F.col("manifest")).alias("place"), tx.normalise(F.coalesce("found.title", F.lit("")), strip_footnotes).alias("title"), html_paragraphs(F.col("html"), strip_footnotes).alias("paragraphs"))
+    rows = rows.select("book", "item", spine_order(F.col("spine"), F.col("manifest")).alias("place"), tx.normalise(F.coalesce("found.title", F.lit("")), strip_footnotes).alias("title"), _paragraphs_of(F.col("found"), strip_footnotes).alias("paragraphs"))
     rows = rows.filter(F.size("paragraphs") > 0)
     if strip_front_matter:
         rows = rows.filter(~tx.is_front_matter(F.col("title")))
