@@ -5,8 +5,9 @@ from __future__ import annotations
 import html
 import io
 import zipfile
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,9 +46,9 @@ def html_blocks(spark, d):
     return rows.withColumn("paragraph", decoding.nfc("paragraph"))
 
 
-def _archive(docs: pd.DataFrame) -> pd.DataFrame:
+def _archive(book: int, docs: list[tuple[int, str | None]]) -> bytes:
     """The documents of a book as an EPUB: a spine against their order that forgets every fourth, and a cover told in one of four ways."""
-    book, out, ids = int(docs["book"].iloc[0]), io.BytesIO(), sorted(docs["doc_id"])
+    out, ids = io.BytesIO(), sorted(k for k, _ in docs)
     item = lambda name, path, kind, more="": f'<item id="{name}" href="{path}" media-type="{kind}" {more}/>'
     manifest = "".join(item(f"d{k}", f"text/{k}.xhtml", "application/xhtml+xml") for k in ids)
     manifest += item("nav", "text/list.xhtml", "application/xhtml+xml", 'properties="nav"') + item("gone", "text/gone.xhtml", "application/xhtml+xml")
@@ -58,18 +59,26 @@ def _archive(docs: pd.DataFrame) -> pd.DataFrame:
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OEBPS/book.opf"/></rootfiles></container>')
         z.writestr("OEBPS/book.opf", f'<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>Book {book}</dc:title>{cover}</metadata><manifest>{manifest}</manifest><spine>{spine}</spine></package>')
-        for k, text in zip(docs["doc_id"], docs["text"]):
+        for k, text in docs:
             z.writestr(f"OEBPS/text/{k}.xhtml", _page(k, text or ""))
         z.writestr("OEBPS/text/list.xhtml", "<html><body><p>what is where</p></body></html>")
         z.writestr("OEBPS/images/a.png", b"a" * (1 + book % 9))
         z.writestr(f"OEBPS/images/{'front' if book % 4 == 3 else 'cover'}.jpg", b"c" * (1 + book % 9))
-    return pd.DataFrame({"slug": [f"b{book}"], "content": [out.getvalue()]})
+    return out.getvalue()
+
+
+def _archives(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (book, doc_id, text) sorted by book -> an EPUB of each book, one at a time."""
+    rows = (tuple(x.as_py() for x in row) for batch in batches for row in zip(*batch.columns))
+    for book, docs in groupby(rows, key=lambda row: row[0]):
+        yield pa.RecordBatch.from_arrays([pa.array([f"b{book}"]), pa.array([_archive(book, [row[1:] for row in docs])], pa.binary())], ["slug", "content"])
 
 
 def _epubs(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").select(F.expr("doc_id div 4").alias("book"), "doc_id", "text")
     damaged = spark.createDataFrame([("damaged", b"PK no archive")], "slug string, content binary")
-    return docs.groupBy("book").applyInPandas(_archive, "slug string, content binary").unionByName(damaged)
+    sorted_ = docs.repartition("book").sortWithinPartitions("book", "doc_id")
+    return sorted_.mapInArrow(_archives, "slug string, content binary").unionByName(damaged)
 
 
 @query(f"""
@@ -89,7 +98,10 @@ UNION ALL SELECT 'damaged', NULL, NULL, 'BadZipFile'
 """)
 def epub_covers(spark, d):
     """SC-06, and the row of an archive that cannot be read."""
-    items = books.epub_items(_epubs(spark, d))
+    path = shared_path(spark, "covers")
+    # read once, and of each archive only the images
+    books.epub_items(_epubs(spark, d), kinds="image/").write.parquet(path)
+    items = spark.read.schema(books.EPUB_ITEM).parquet(path)
     covers = books.cover_image(items.filter("error IS NULL")).select("book", "item", F.col("content").cast("string").alias("content"), F.lit(None).cast("string").alias("error"))
     failed = items.filter("error IS NOT NULL").select("book", "item", F.lit(None).cast("string").alias("content"), F.regexp_extract("error", "^[A-Za-z]+", 0).alias("error"))
     return covers.unionByName(failed)

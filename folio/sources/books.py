@@ -127,7 +127,7 @@ def text_books(files: DataFrame, encoding: str = "", strip_footnotes: bool = Tru
     return chapters(read.select(F.col("slug").alias("book"), "name", F.col("decoded.text").alias("text")), strip_footnotes)
 
 
-def _open_epub(content: bytes) -> Iterator[dict]:
+def _open_epub(content: bytes, kinds: str = "") -> Iterator[dict]:
     """Content documents and images of an EPUB with their place in the spine, their properties and their role."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         local = lambda e: e.tag.rpartition("}")[2]
@@ -137,9 +137,10 @@ def _open_epub(content: bytes) -> Iterator[dict]:
         spine = {e.attrib.get("idref"): k for k, e in reversed(list(enumerate(x for x in package.iter() if local(x) == "itemref")))}
         cover = next((e.attrib.get("content") for e in package.iter() if local(e) == "meta" and e.attrib.get("name") == "cover"), None)
         meta = {local(e): e.text for e in package.iter() if local(e) in ("title", "creator", "language") and e.text}
+        there = set(archive.namelist())
         for place, item in enumerate(e for e in package.iter() if local(e) == "item"):
             name = posixpath.normpath(posixpath.join(base, item.attrib.get("href", "")))
-            if name not in archive.namelist():
+            if name not in there or not item.attrib.get("media-type", "").lower().startswith(kinds):
                 continue
             kind, properties = item.attrib.get("media-type", ""), item.attrib.get("properties", "").split()
             yield {"item": name, "kind": kind, "properties": properties, "spine": spine.get(item.attrib.get("id")), "manifest": place, "content": archive.read(name), "is_cover_meta": cover is not None and item.attrib.get("id") == cover, "title": meta.get("title"), "author": meta.get("creator"), "language": meta.get("language")}
@@ -148,15 +149,17 @@ def _open_epub(content: bytes) -> Iterator[dict]:
 EPUB_ITEM = "book string, item string, kind string, properties array<string>, spine int, manifest int, content binary, is_cover_meta boolean, title string, author string, language string, error string"
 
 
-def epub_items(files: DataFrame) -> DataFrame:
-    """SC-02: the items of EPUB files (slug, content); a damaged file is one row with its error."""
+def epub_items(files: DataFrame, kinds: str = "") -> DataFrame:
+    """SC-02: the items of EPUB files (slug, content); a damaged file is one row with its error.
+
+    kinds: what the media types of the wanted items begin with; others are not unpacked."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split(" ")[0] for c in EPUB_ITEM.split(", ")]
         for frame in frames:
             for slug, content in zip(frame["slug"], frame["content"]):
                 try:
-                    rows = [{"book": slug, "error": None} | item for item in _open_epub(bytes(content))]
+                    rows = [{"book": slug, "error": None} | item for item in _open_epub(bytes(content), kinds)]
                 except Exception as e:  # a damaged book costs its own row
                     rows = [dict.fromkeys(columns) | {"book": slug, "error": f"{type(e).__name__}: {e}"}]
                 yield pd.DataFrame(rows, columns=columns).astype({"spine": "Int32", "manifest": "Int32"})
