@@ -95,6 +95,26 @@ def test_chapters_and_plan(spark):
     assert all(r["est_seconds"] == round(r["chars"] / 15, 2) for r in plan)
 
 
+def test_chunk_plan_as_in_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from folio.plans import registry
+
+    rng = random.Random(4)
+    words = ["no.", "No.", "Dr.", "Sr.", "vol.", "Rr", "que", "ñas,", "x;", "y.", "Ya?", '"Si."', "5", "–", "w" * 300, "\n", "\n"]
+    texts = ["Cira la no. No. Lo llmi con.", None, ""] + [" ".join(rng.choices(words, weights=[4] * 14 + [1] * 3, k=rng.randrange(200))) for _ in range(300)]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "lang": [("es", "en", "xx", None)[k % 4] for k in range(len(texts))]})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    found = registry.QUERIES["chunk_plan"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.register("documents", docs)
+    wanted = con.execute("SELECT " + ", ".join(f'"{c}"' for c in found.columns) + f" FROM ({registry.ORACLES['chunk_plan']})").fetchall()
+    assert set(map(tuple, found.collect())) == set(wanted) and len(wanted) == found.count()
+
+
 @pytest.mark.parametrize(
     "paragraph,known,want",
     [
