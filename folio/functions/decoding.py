@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from folio.functions import text as tx
+from folio.io import in_pieces
 
 # The single-byte tables tried, and how close two scores count as equal.
 LEGACY = ("cp1250", "iso-8859-2", "cp1252")
@@ -25,7 +26,12 @@ DECODED = "struct<text:string,encoding:string,method:string,score:double,equival
 @arrow_udf(T.StringType())
 def nfc(texts: pa.Array) -> pa.Array:
     """DC-04: composed normal form, without byte-order marks."""
-    return pa.array([None if t is None else unicodedata.normalize("NFC", t.replace(tx.BOM, "")) for t in texts.to_pylist()], pa.string())
+
+    def composed(text: pa.Scalar) -> tuple[str | None, int]:
+        t = text.as_py()
+        return (None, 0) if t is None else (unicodedata.normalize("NFC", t.replace(tx.BOM, "")), len(t))
+
+    return in_pieces(texts, composed, pa.string())
 
 
 @arrow_udf(T.StringType())
@@ -41,15 +47,16 @@ def comparison_tokens(c: Column) -> Column:
 def strict_decoder(encoding: str):
     """An Arrow function from bytes to text in the encoding; null where it does not fit."""
 
+    def read(raw: pa.Scalar) -> tuple[str | None, int]:
+        b = raw.as_py()
+        try:
+            return (None, 0) if b is None else (unicodedata.normalize("NFC", b.decode(encoding).replace(tx.BOM, "")), len(b))
+        except (UnicodeDecodeError, LookupError):
+            return None, 0
+
     @arrow_udf(T.StringType())
     def decode(raw: pa.Array) -> pa.Array:
-        out = []
-        for b in raw.to_pylist():
-            try:
-                out.append(None if b is None else unicodedata.normalize("NFC", b.decode(encoding).replace(tx.BOM, "")))
-            except (UnicodeDecodeError, LookupError):
-                out.append(None)
-        return pa.array(out, pa.string())
+        return in_pieces(raw, read, pa.string())
 
     return decode
 

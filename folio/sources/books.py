@@ -18,7 +18,7 @@ from pyspark.sql.functions import arrow_udf
 
 from folio.functions import decoding
 from folio.functions import text as tx
-from folio.io import in_pieces
+from folio.io import byte_slices, in_pieces
 
 # Suffixes that can be read, names of navigation documents, and when an extracted document is suspect.
 SUFFIXES = (".txt", ".epub")
@@ -72,17 +72,30 @@ class _Blocks(HTMLParser):
             self.blocks[-1].append(data)
 
 
-@arrow_udf(T.StructType().add("title", "string").add("blocks", T.ArrayType(T.StringType())).add("body", "string"))
+_FOUND = pa.struct([("title", pa.string()), ("blocks", pa.list_(pa.string())), ("body", pa.string())])
+
+
+def _parsed(page: pa.Scalar) -> tuple[dict, int]:
+    parser, text = _Blocks(), page.as_py() or ""
+    parser.feed(text)
+    parser.close()
+    return {"title": parser.title, "blocks": ["".join(b) for b in parser.blocks], "body": "".join(parser.body)}, len(text)
+
+
+_FOUND_TYPE = T.StructType().add("title", "string").add("blocks", T.ArrayType(T.StringType())).add("body", "string")
+
+
+@arrow_udf(_FOUND_TYPE)
 def html_blocks(pages: pa.Array) -> pa.Array:
     """SC-05: the first heading, the text of outermost paragraphs, quotations and list items, and all text."""
+    return in_pieces(pages, _parsed, _FOUND)
 
-    def parsed(page: pa.Scalar) -> tuple[dict, int]:
-        parser, text = _Blocks(), page.as_py() or ""
-        parser.feed(text)
-        parser.close()
-        return {"title": parser.title, "blocks": ["".join(b) for b in parser.blocks], "body": "".join(parser.body)}, len(text)
 
-    return in_pieces(pages, parsed, pa.struct([("title", pa.string()), ("blocks", pa.list_(pa.string())), ("body", pa.string())]))
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """html_blocks of rows whose last column is the page, in batches of about 1 MB of pages."""
+    for batch in batches:
+        for part in byte_slices(batch, "html", 1_000_000):
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], in_pieces(part.column(part.num_columns - 1), _parsed, _FOUND)], [*part.schema.names[:-1], "found"])
 
 
 def html_paragraphs(html: Column, footnotes: bool = True) -> Column:
@@ -154,17 +167,19 @@ def epub_items(files: DataFrame, kinds: str = "") -> DataFrame:
 
     kinds: what the media types of the wanted items begin with; others are not unpacked."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split(" ")[0] for c in EPUB_ITEM.split(", ")]
-        for frame in frames:
-            for slug, content in zip(frame["slug"], frame["content"]):
+    names = [c.split(" ")[0] for c in EPUB_ITEM.split(", ")]
+    types = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slug, content in zip(*batch.columns):
                 try:
-                    rows = [{"book": slug, "error": None} | item for item in _open_epub(bytes(content), kinds)]
+                    rows = [{"book": slug.as_py(), "error": None} | item for item in _open_epub(content.as_py(), kinds)]
                 except Exception as e:  # a damaged book costs its own row
-                    rows = [dict.fromkeys(columns) | {"book": slug, "error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame(rows, columns=columns).astype({"spine": "Int32", "manifest": "Int32"})
+                    rows = [dict.fromkeys(names) | {"book": slug.as_py(), "error": f"{type(e).__name__}: {e}"}]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema(list(zip(names, types))))
 
-    return files.select("slug", "content").mapInPandas(run, EPUB_ITEM)
+    return files.select("slug", "content").mapInArrow(run, EPUB_ITEM)
 
 
 def spine_order(spine: Column, manifest: Column) -> Column:
@@ -178,7 +193,9 @@ def epub_chapters(items: DataFrame, strip_front_matter: bool = True, strip_footn
 
     docs = items.filter(F.col("kind").contains("html") & ~is_navigation(F.col("item"), F.col("properties")))
     read = decoding.decode(docs).withColumn("html", F.coalesce("decoded.text", F.lit("")))
-    rows = read.withColumn("found", html_blocks("html"))
+    # not html_blocks(): a filter on what a function gives would be pushed below it, and decode and parse all pages again
+    read = read.select("book", "item", "spine", "manifest", "html")
+    rows = read.mapInArrow(_parse, T.StructType(read.schema.fields[:-1]).add("found", _FOUND_TYPE))
     rows = rows.select("book", "item", spine_order(F.col("spine"), F.col("manifest")).alias("place"), tx.normalise(F.coalesce("found.title", F.lit("")), strip_footnotes).alias("title"), _paragraphs_of(F.col("found"), strip_footnotes).alias("paragraphs"))
     rows = rows.filter(F.size("paragraphs") > 0)
     if strip_front_matter:

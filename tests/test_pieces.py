@@ -45,3 +45,18 @@ def test_ledger_of_several_files(spark, tmp_path):
         assert [tuple(r) for r in tables.read_ledger(spark, str(tmp_path / "part-00000.txt")).collect()] == [("a", "b0")]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_pages_are_read_once(spark):
+    """Filters on what was read are not pushed below it: each Python function stands in the plan once."""
+    items = spark.createDataFrame([], books.EPUB_ITEM)
+    plan = books.epub_chapters(items)._jdf.queryExecution().executedPlan().toString()
+    assert sum("ArrowEvalPython" in line for line in plan.split("\n")) == 2 and sum("MapInArrow" in line for line in plan.split("\n")) == 1
+
+
+def test_pages_are_parsed_in_small_batches():
+    pages = pa.RecordBatch.from_pydict({"book": ["a"] * 9, "html": ["<h1>T</h1><p>" + "x" * 400_000 + "</p>"] * 8 + [None]})
+    made = list(books._parse([pages]))
+    assert max(m.num_rows for m in made) <= 3 and sum(m.num_rows for m in made) == 9
+    found = pa.Table.from_batches(made).column("found").to_pylist()
+    assert found[0] == {"title": "T", "blocks": ["x" * 400_000], "body": "T" + "x" * 400_000} and found[8] == {"title": None, "blocks": [], "body": ""}
