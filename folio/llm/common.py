@@ -133,6 +133,28 @@ def hub_join(rows: DataFrame, facts: DataFrame, key: str, size: str, bound: int,
     return rows.join(hubs, key).unionByName(rest)
 
 
+#: Bytes of a table that Spark may broadcast of itself. It goes by the size of files, where a row takes a byte or two, and
+#: on the driver it takes seventy: with Spark's own 10 MB, a row for each of some million documents.
+BROADCAST_BYTES = 256 * 1024
+
+
+@contextlib.contextmanager
+def small_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run in here broadcast what the operator names, and else BROADCAST_BYTES at most; other joins shuffle."""
+    key, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    now = {key: spark.conf.get(key), adaptive: spark.conf.get(adaptive, None)}  # the second, if unset, is as the first
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    large = [k for k, value in now.items() if value and not value.startswith("-") and size(value) > BROADCAST_BYTES]
+    was = {k: spark.conf.get(k, None) for k in large}
+    for k in large:
+        spark.conf.set(k, str(BROADCAST_BYTES))
+    try:
+        yield
+    finally:
+        for k, value in was.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+
+
 def byte_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Zero-copy slices of the batches with about `limit` bytes of the binary or string column each (one row at least)."""
     import numpy as np

@@ -535,6 +535,11 @@ def _linked_pairs(pairs: DataFrame, texts: DataFrame, percent: int, blocks: int)
 
 def jaccard_components(docs: DataFrame, percent: int = 75, bucket_tokens: int = 750_000, frequent_from: int = 12, tries: int = 8) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id. A bucket of the matrix holds about `bucket_tokens` cells."""
+    with common.small_broadcasts(docs.sparkSession):
+        return _components(docs, percent, bucket_tokens, frequent_from, tries)
+
+
+def _components(docs: DataFrame, percent: int, bucket_tokens: int, frequent_from: int, tries: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     texts, sums = common.measured(rows.mapInArrow(_sign, TEXTS), "texts", prefixes=F.sum(prefix), rows=F.count("rid"), parts=F.max(F.shiftright("rid", 32)))
@@ -613,7 +618,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bucket_tokens: int =
         ends = common.hub_join(ends, least.withColumnsRenamed({"gid": end, "d": f"d_{end}"}), end, "size", many).drop("size")
     roots = common.materialize(components(ends.select(F.col("d_u").alias("u"), F.col("d_v").alias("v"))), "roots")
     of_group = named.join(roots.select(F.col("node").alias("d"), "root"), "d", "left").select("gid", "rows", F.coalesce("root", "d").alias("component_id"))
-    found = common.hub_join(grouped_rows, common.materialize(of_group, "named"), "gid", "rows", bound, most)
+    # runs when the caller's job does, with the caller's settings
+    found = common.hub_join(grouped_rows, common.materialize(of_group, "named").hint("merge"), "gid", "rows", bound, most)
     alone = members.filter("gid IS NULL").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.select("doc_id", "n_shingles", "component_id").unionByName(alone)
 

@@ -152,3 +152,23 @@ def test_texts_of_candidates(spark, blocks):
     assert sorted(tuple(r) for r in found.collect()) == sorted((r, f"t{r}") for r in want)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert ("BroadcastExchange" in plan and "block" in plan) == (blocks == 4)
+
+
+def test_growing_tables_are_not_broadcast(spark, monkeypatch):
+    """Spark's own broadcasts stay small whatever its threshold is: it goes by the size of files, not of rows."""
+    from folio.llm import common
+
+    key, seen, write = "spark.sql.autoBroadcastJoinThreshold", set(), common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name: seen.add(df.sparkSession.conf.get(key)) or write(df, name))
+    was = spark.conf.get(key)
+    data = rows(3)
+    found = jaccard.jaccard_components(spark.createDataFrame(data, SCHEMA))
+    assert seen == {str(common.BROADCAST_BYTES)} and spark.conf.get(key) == was
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect()), key=repr) == brute(data)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    with common.small_broadcasts(spark):
+        spark.conf.set(key, "-1")
+        with common.small_broadcasts(spark):
+            assert spark.conf.get(key) == "-1"
+        spark.conf.set(key, "256k")
+    assert spark.conf.get(key) == was
